@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, lm_score, mixing, sharding
+from . import decontaminate, license_scan, lm_score, mixing, near_dedup, sharding
 from .sql import ORACLES
 
 
@@ -26,6 +26,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
 
@@ -35,7 +39,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_lm_scoring, op8_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_lm_scoring, op5_near_dedup, op8_sharding, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
