@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, lm_score, mixing, near_dedup, sharding
+from . import decontaminate, license_scan, line_dedup, lm_score, mixing, near_dedup, sharding
 from .sql import ORACLES
 
 
@@ -38,8 +38,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_lm_scoring, op5_near_dedup, op8_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_lm_scoring, op5_near_dedup, op8_sharding, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
