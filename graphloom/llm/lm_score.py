@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from .common import fold, save
 
 FOLDS, HELD_OUT, PART = 7, 2, 3
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 BUCKETS, STEP, FLOOR = 64, 8, -60
 END, START = np.uint64(xxhash.xxh3_64_intdigest(b" end")), np.uint64(xxhash.xxh3_64_intdigest(b" start"))
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
