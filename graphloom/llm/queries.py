@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_dedup, lm_score, mixing, near_dedup, sharding
+from . import decontaminate, license_scan, line_dedup, lm_score, mixing, near_dedup, quality, sharding
 from .sql import ORACLES
 
 
@@ -26,6 +26,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -43,7 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_lm_scoring, op5_near_dedup, op8_sharding, op9_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_lm_scoring, op4_quality, op5_near_dedup, op8_sharding, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
