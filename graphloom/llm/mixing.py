@@ -44,10 +44,11 @@ def targets(sizes: DataFrame) -> DataFrame:
         "*", (F.lit(SHARE) * F.sum("source_size").over(everything)).alias("total"), F.sum("weight").over(everything).alias("weights"),
         F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("size_before"), F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("weight_before"),
     )
-    # the level if all sources before this one are full and this one is not
+    # the level if all sources before this one are full and no other; each such line lies above the true sum of
+    # targets, so the true level is the greatest of them
     level = (F.col("total") - F.lit(CAP) * F.col("size_before")) / (F.col("weights") - F.col("weight_before")).cast("double")
-    s = s.withColumn("level", F.min(F.when(level < F.col("fill"), level)).over(everything))
-    full = F.col("level").isNull() | (F.col("fill") <= F.col("level"))
+    s = s.withColumn("level", F.max(level).over(everything))
+    full = F.col("fill") <= F.col("level")
     s = s.withColumn("target", F.when(full, (F.lit(CAP) * F.col("source_size")).cast("double")).otherwise(F.col("weight") * F.col("level")))
     high = F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, 0))
     return s.select("source", "source_size", "weight", "target", F.coalesce(F.lag(high).over(by_name), F.lit(0.0)).alias("low"), high.alias("high"))

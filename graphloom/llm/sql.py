@@ -25,8 +25,8 @@ s3 AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE AS total, sum(we
               coalesce(sum(source_size) OVER before, 0) AS size_before, coalesce(sum(weight) OVER before, 0) AS weight_before
        FROM s2 WINDOW before AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s4 AS (SELECT *, (total - (2 * size_before)::DOUBLE) / (weights - weight_before)::DOUBLE AS own FROM s3),
-s5 AS (SELECT *, min(CASE WHEN own < fill THEN own END) OVER () AS level FROM s4),
-s6 AS (SELECT *, CASE WHEN level IS NULL OR fill <= level THEN (2 * source_size)::DOUBLE ELSE weight * level END AS target FROM s5),
+s5 AS (SELECT *, max(own) OVER () AS level FROM s4),
+s6 AS (SELECT *, CASE WHEN fill <= level THEN (2 * source_size)::DOUBLE ELSE weight * level END AS target FROM s5),
 s7 AS (SELECT *, sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high FROM s6),
 s8 AS (SELECT *, coalesce(lag(high) OVER (ORDER BY source NULLS LAST), 0) AS low FROM s7),
 p AS (SELECT ((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE)) * (SELECT max(high) FROM s8) AS x
