@@ -44,39 +44,76 @@ def components(edges: DataFrame) -> DataFrame:
     return total if total is not None else edge.df.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
+#: Rounds of stars, each from other leaders. The search that follows is exact after any number of them.
+ROUNDS = 5
+
+
 def linked(
     keys: DataFrame,
     features: Callable[[DataFrame], DataFrame],
     near: Callable[[Column, Column], Column],
-    verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    verify: Callable[[DataFrame], DataFrame] | None = None,
+    once: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(key, id) -> (v, root): components of the links between ids that share a key.
 
-    A bucket first sends a star, from its smallest id to its others, so a large group costs as many pairs as it
-    has members. Buckets whose members are then still in several components are searched for the links that a
-    star can miss: their rows meet in an equi-join that emits only pairs of different components for which
-    `near` holds. Pairs in one component need no link. The union of both is exact: a pair that shares a key and
-    fulfils near and verify is either emitted or already connected.
+    A bucket first sends a star, from one leader to its members in other components, so a large group costs as
+    many pairs as it has members. Rounds go on with other leaders as long as they find links. Buckets whose
+    members are then still in several components are searched for the links that stars can miss: their rows meet
+    in an equi-join that emits only pairs of different components for which `near` holds (and `once`, if
+    keys have a slot: the pair's other keys don't emit it again). Pairs in one component need no link. Together
+    this is exact: a pair that shares a key and fulfils near and verify is either found or already connected.
 
     features(ids) gives (id, f) for a table of ids; near compares two f; verify keeps the (a, b) that are links.
     """
-    lead = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last")
-    shared = save(keys.join(lead, "key").select("key", "id", "a"), "link-keys")
-    star = save(shared.df.filter("a < id").select("a", F.col("id").alias("b")).distinct(), "link-star")
-    f = features(star.df.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    side = lambda c: f.select(F.col("id").alias(c), F.col("f").alias(f"f_{c}"))
-    links = save(verify(star.df.join(side("a"), "a").join(side("b"), "b").filter(near(F.col("f_a"), F.col("f_b"))).select("a", "b").distinct()), "links")
-    roots = components(links.df)
-    labelled = shared.df.join(roots.withColumnRenamed("v", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rest = save(labelled.join(split, "key"), "link-rest")
+    lead = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
+    shared = save(keys.join(lead, "key"), "link-keys")
+    found = shared.df.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    roots: DataFrame | None = None
+    rest = shared
+    for turn in range(ROUNDS):
+        turned = F.lit(0x9E3779B97F4A7C15 * turn % (1 << 63))  # least id XOR a constant: another order each round
+        rows = rest.df if roots is not None else rest.df.withColumn("root", F.col("id"))
+        leaders = rows.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(turned)).alias("lead"))
+        star = rows.join(leaders, "key").select(F.col("lead").bitwiseXOR(turned).alias("a"), F.col("id").alias("b"), "root").filter("a <> b").distinct()
+        if roots is not None:
+            other = roots.select(F.col("v").alias("a"), F.col("root").alias("a_root"))
+            star = star.join(other, "a", "left").filter(F.coalesce("a_root", "a") != F.col("root"))
+        links = _near_pairs(save(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "link-star").df, features, near)
+        links = save(verify(links) if verify else links, "links")
+        if links.df.isEmpty():
+            roots = roots if roots is not None else components(found)
+        else:
+            found = found.unionByName(links.df)
+            roots = components(found)
+        before = rest
+        rest = save(_several(shared.df if turn == 0 else before.df.drop("root"), roots), "link-rest")
+        if links.df.isEmpty() or rest.df.isEmpty():
+            break
     if rest.df.isEmpty():
         return roots
-    f = features(rest.df.select("id").distinct())
-    rows = save(rest.df.join(f, "id"), "link-rows").df
-    left, right = (rows.select("key", F.col("id").alias(a), F.col("root").alias(f"root_{a}"), F.col("f").alias(f"f_{a}")) for a in ("a", "b"))
-    across = left.join(right, (left.key == right.key) & (F.col("root_a") < F.col("root_b")) & near(F.col("f_a"), F.col("f_b")))
-    more = save(verify(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links-across")
-    if more.df.isEmpty():
+    rows = save(rest.df.join(features(rest.df.select("id").distinct()), "id"), "link-rows").df
+    left, right = (rows.select("key", *([F.col("slot").alias(f"slot_{a}")] if once else []), F.col("id").alias(a), F.col("root").alias(f"root_{a}"), F.col("f").alias(f"f_{a}")) for a in ("a", "b"))
+    fits = near(F.col("f_a"), F.col("f_b"))
+    if once:
+        fits = fits & once(F.col("f_a"), F.col("f_b"), F.col("slot_a"))
+    across = left.join(right, (left.key == right.key) & (F.col("root_a") < F.col("root_b")) & fits)
+    more = save(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "link-across").df
+    if verify:
+        more = save(verify(more), "links-across").df
+    if more.isEmpty():
         return roots
-    return components(links.df.unionByName(more.df))
+    return components(found.unionByName(more))
+
+
+def _several(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows, with their roots, of the keys whose members are in several components."""
+    labelled = keys.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    return labelled.join(split, "key")
+
+
+def _near_pairs(pairs: DataFrame, features: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column]) -> DataFrame:
+    f = features(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    side = lambda c: f.select(F.col("id").alias(c), F.col("f").alias(f"f_{c}"))
+    return save(pairs.join(side("a"), "a").join(side("b"), "b").filter(near(F.col("f_a"), F.col("f_b"))).select("a", "b"), "link-near").df

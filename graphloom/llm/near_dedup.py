@@ -9,7 +9,7 @@ way to leave one symbol out. All pairs within that distance share a key, and a p
 sets of words.
 
 Documents with one set are collapsed to a class first, so copies make no pairs; linking.linked avoids the pairs in
-groups of near copies. Rows with a null id get the component of their class if other rows of it have an id,
+groups of near copies, and its last search emits a pair once, at the first key that it shares. Rows with a null id get the component of their class if other rows of it have an id,
 else null (and are kept). Null and empty texts have an empty set and stand alone. Repeated rows each get a row.
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import Saved, save
 from .linking import linked
 
-SYMBOLS, CHUNKS, LOOSE = 60, 12, 30
-PER_CHUNK, LONGS = SYMBOLS // CHUNKS, SYMBOLS // 4
+SYMBOLS, CHUNKS, LOOSE = 60, 12, 26
+PER_CHUNK, LONGS = SYMBOLS // CHUNKS, 2 * CHUNKS  # a chunk is one long and the low 16 bits of another
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -52,12 +52,14 @@ def shingles(text: str | None, width: int) -> set:
 
 
 def signature(h: np.ndarray) -> np.ndarray:
-    """SYMBOLS symbols of 16 bits."""
+    """SYMBOLS symbols of 16 bits, each chunk padded to two longs."""
     least = np.full(SYMBOLS, ~np.uint64(0))
     for at in range(0, len(h), 2048):
         np.minimum(least, (h[at : at + 2048, None] * MULTIPLIERS).min(axis=0), out=least)
     least ^= least >> np.uint64(32)
-    return ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16)
+    padded = np.zeros((CHUNKS, 8), np.uint16)
+    padded[:, :PER_CHUNK] = ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16).reshape(CHUNKS, PER_CHUNK)
+    return padded.ravel()
 
 
 SIGNED = "doc_id {id}, n_shingles long, h1 long, h2 long, f array<long>"
@@ -87,14 +89,14 @@ def signed(docs: DataFrame, width: int) -> Saved:
 
 
 def index_keys(reps: DataFrame) -> DataFrame:
-    """(key, id): each chunk with each of its symbols left out."""
+    """(key, id, slot): each chunk with each of its symbols left out; slot is chunk * PER_CHUNK + that symbol."""
 
     def run(batches):
         salt = np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                symbols = part.column("f").flatten().to_numpy().view(np.uint16).reshape(-1, CHUNKS, PER_CHUNK).astype(np.uint64)
+                symbols = part.column("f").flatten().to_numpy().view(np.uint16).reshape(-1, CHUNKS, 8)[:, :, :PER_CHUNK].astype(np.uint64)
                 keys = np.empty((len(symbols), SYMBOLS), dtype=np.uint64)
                 for out in range(PER_CHUNK):
                     left = [i for i in range(PER_CHUNK) if i != out]
@@ -102,26 +104,41 @@ def index_keys(reps: DataFrame) -> DataFrame:
                     keys[:, out::PER_CHUNK] = packed
                 keys = (keys ^ salt) * np.uint64(0xE7037ED1A0B428DB)
                 keys ^= keys >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column("id").to_numpy(), SYMBOLS))], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column("id").to_numpy(), SYMBOLS)), pa.array(np.tile(np.arange(SYMBOLS, dtype=np.int32), len(symbols)))], names=["key", "id", "slot"])
 
-    return reps.select("id", "f").mapInArrow(run, "key long, id long")
+    return reps.select("id", "f").mapInArrow(run, "key long, id long, slot int")
+
+
+def _errors(a, b, chunk: int):
+    """Symbols of a chunk that differ: 16-bit lanes are folded onto one bit and counted."""
+    x = a[2 * chunk].bitwiseXOR(b[2 * chunk])
+    for shift in (8, 4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return F.bit_count(x.bitwiseAND(0x0001000100010001)) + (a[2 * chunk + 1] != b[2 * chunk + 1]).cast("int")
 
 
 def near(a, b):
-    """Distance of two signatures at most LOOSE; 16-bit lanes that differ are folded onto one bit and counted."""
-    total = None
-    for i in range(LONGS):
-        x = a[i].bitwiseXOR(b[i])
-        for shift in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        n = F.bit_count(x.bitwiseAND(0x0001000100010001))
-        total = n if total is None else total + n
+    """Distance of two signatures at most LOOSE."""
+    total = _errors(a, b, 0)
+    for chunk in range(1, CHUNKS):
+        total = total + _errors(a, b, chunk)
     return total <= LOOSE
 
 
+def once(a, b, slot):
+    """Of the keys that two signatures share, this is the first: no earlier chunk has at most one error, and a
+    chunk without errors counts under its first key."""
+    first = F.when(_errors(a, b, 0) <= 1, F.lit(0))
+    for chunk in range(1, CHUNKS):
+        first = first.when(_errors(a, b, chunk) <= 1, F.lit(chunk))
+    chunk = F.floor(slot / PER_CHUNK).cast("int")
+    exact = (F.element_at(a, 2 * chunk + 1) == F.element_at(b, 2 * chunk + 1)) & (F.element_at(a, 2 * chunk + 2) == F.element_at(b, 2 * chunk + 2))
+    return (first == chunk) & (~exact | (slot % PER_CHUNK == 0))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()  # pairs are a written table, read twice
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(ids, "_id", "left_semi")
     side = lambda c: texts.select(F.col("_id").alias(c), F.col("text").alias(f"t_{c}"))
 
@@ -148,7 +165,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     owned = classes.filter("rep IS NOT NULL")
     reps = save(signatures.join(owned, (signatures.id == owned.rep) & (signatures.h1 == owned.h1) & (signatures.h2 == owned.h2)).select("id", "f").distinct(), "reps")
     keys = save(index_keys(reps.df), "chunk-keys")
-    roots = linked(keys.df, lambda ids: reps.df.join(ids, "id", "left_semi"), near, lambda pairs: confirm(pairs, docs, width, percent))
+    roots = linked(keys.df, lambda ids: reps.df.join(ids, "id", "left_semi"), near, lambda pairs: confirm(pairs, docs, width, percent), once)
     keys.drop()
     found = save(classes.join(roots, classes.rep == roots.v, "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id")), "classes").df
     joined = sets.select("doc_id", "n_shingles", "h1", "h2").join(found, ["h1", "h2"], "left")
