@@ -31,9 +31,16 @@ def query_parts(query: str) -> list[tuple[str, ...]]:
 def _frequency(ts: Column, part: tuple[str, ...]) -> Column:
     if len(part) == 1:
         return F.size(F.filter(ts, lambda t: t == part[0]))
-    n, phrase = F.size(ts) - len(part) + 1, F.lit(list(part))
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(ts, i, F.lit(len(part))) == phrase))
+    n = F.size(ts) - len(part)
+    starts = F.when(n >= 0, F.sequence(F.lit(0), F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+    def here(i: Column) -> Column:  # get() reads one element; slice() would copy the whole array for each place
+        out = F.get(ts, i) == part[0]
+        for j, word in enumerate(part[1:], 1):
+            out = out & (F.get(ts, i + j) == word)
+        return out
+
+    return F.size(F.filter(starts, here))
 
 
 def bm25(table: DataFrame, query: str, k: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ external ids and internal ids; ids of new nodes are hashes of external ids, so a
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,11 +60,12 @@ def typed(rows: DataFrame, head: list[Column]) -> DataFrame:
 
 
 def _schema(rows: DataFrame) -> T.StructType | None:
-    """The union of all rows' keys and types: a scan by Spark's JSON reader, without a shuffle."""
-    spark = rows.sparkSession
-    st = spark.read.json(rows.select(F.coalesce("properties", F.lit("{}"))).rdd.map(lambda r: r[0])).schema
-    fields = [f for f in st.fields if f.name != "_corrupt_record"]
-    return T.StructType(fields) if fields else None
+    """The union of all rows' keys and types, aggregated in the JVM. Mixed kinds become text."""
+    text = rows.agg(F.schema_of_variant_agg(F.parse_json(F.coalesce("properties", F.lit("{}"))))).first()[0]
+    if not text or not text.startswith("OBJECT<") or text == "OBJECT<>":
+        return None
+    text = re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", text.replace("OBJECT<>", "STRING").replace("OBJECT<", "STRUCT<"))
+    return T._parse_datatype_string(re.sub(r"\b(VOID|VARIANT)\b", "STRING", text))
 
 
 def ingest(store: Store, nodes: DataFrame | None = None, rels: DataFrame | None = None, grants: DataFrame | None = None) -> tuple[Store, DataFrame]:
