@@ -54,7 +54,9 @@ def bm25(table: DataFrame, query: str, k: int | None = None) -> DataFrame:
     n, average = stats["n"], (stats["length"] or 0) / max(stats["n"], 1)
     idf = {w: math.log(1 + (n - (stats[f"df{i}"] or 0) + 0.5) / ((stats[f"df{i}"] or 0) + 0.5)) for i, w in enumerate(words)}
     total, any_hit = F.lit(0.0), F.lit(False)
-    scored = docs.select("_id", F.size("ts").alias("dl"), *(_frequency(F.col("ts"), p).alias(f"f{i}") for i, p in enumerate(parts)))
+    # one lambda holds all uses of the tokens; else the optimizer would tokenise again inside of each of them
+    measured = F.transform(F.array(tokens(F.col("body"))), lambda ts: F.struct(F.size(ts).alias("dl"), *(_frequency(ts, p).alias(f"f{i}") for i, p in enumerate(parts))))
+    scored = table.filter(F.col("body").isNotNull()).select("_id", F.explode(measured).alias("m")).select("_id", "m.*")
     for i, p in enumerate(parts):
         f = F.col(f"f{i}")
         total = total + sum(idf[t] for t in p) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(average or 1.0)))
