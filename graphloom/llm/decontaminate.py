@@ -100,11 +100,12 @@ def _scan(docs: DataFrame, found: dict) -> DataFrame:
     return map_rows(docs, make, SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
-def _blocks(benchmark: DataFrame, width: int, block_windows: int) -> Iterator[dict]:
-    """The windows of the benchmark's items, in blocks whose size is bounded before anything is collected."""
+def _blocks(benchmark: DataFrame, width: int, block_windows: int) -> Iterator:
+    """The number of blocks, then each: the windows of some items. Their size is bounded before anything is collected."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t"))
     total = items.agg(F.sum(F.length("t") / 2 + 1)).first()[0] or 0  # a word takes two characters with its space
     blocks = int(total // block_windows) + 1
+    yield blocks
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b) if blocks > 1 else items
         yield windows(part.toLocalIterator(), width)
@@ -112,13 +113,14 @@ def _blocks(benchmark: DataFrame, width: int, block_windows: int) -> Iterator[di
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, ranges (merged word ranges), items (sorted ids as strings), spans (character ranges)."""
-    found = list(_blocks(benchmark, width, block_windows))
-    if len(found) == 1:
-        return _scan(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), found[0]).drop("row")
+    blocks = _blocks(benchmark, width, block_windows)
+    n = next(blocks)
+    if n == 1:
+        return _scan(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), next(blocks)).drop("row")
     rows = save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "decontaminate")
     parts = None
-    for own_windows in found:
-        own = _scan(rows.df, own_windows)
+    for own_windows in blocks:  # the driver holds one block at a time
+        own = save(_scan(rows.df, own_windows), "decontaminate-hits").df
         parts = own if parts is None else parts.unionByName(own)
     merged = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("ranges", "items", "spans")))
     join = lambda c: F.aggregate(
@@ -139,7 +141,9 @@ def digest(hits: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows in which no window occurs, with all their columns. A row filter: no shuffle, whatever the benchmark's size."""
-    for found in _blocks(benchmark, width, block_windows):
+    blocks = _blocks(benchmark, width, block_windows)
+    next(blocks)
+    for found in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(found)
 
         def make(shared=shared):

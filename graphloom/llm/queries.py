@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_dedup, lm_score, mixing, near_dedup, quality, sharding
+from . import decontaminate, license_scan, line_dedup, lm_score, mixing, near_dedup, quality, search, sharding, token_counts
 from .sql import ORACLES
 
 
@@ -34,6 +34,14 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(token_counts.count(table(spark, sf_dir, "documents")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
 
@@ -47,7 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_lm_scoring, op4_quality, op5_near_dedup, op8_sharding, op9_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_lm_scoring, op4_quality, op5_near_dedup, op6_topk_search, op7_token_counts, op8_sharding, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
