@@ -9,9 +9,10 @@ Queries: the `terms` terms of a document with the greatest tf * idf (ties: least
 queries are run once. They are run in blocks of QUERY_BLOCK, whose size bounds what is broadcast; a task
 keeps the running top k of a block over all shards that it reads.
 
-Pruning: cursors over doc-ordered postings; the pivot is the first document whose lists' maxima can reach the
-threshold, and the maxima of its blocks (BLOCK postings) decide whether it is scored or skipped. Lists of no more
-than one block altogether are scored at once.
+Pruning: a query is first run over the shard that it comes from. Its k-th score there is a threshold that holds
+everywhere, and rises with the task's running top k. Postings are in order of documents and have maxima for blocks, aligned
+to windows of BLOCK documents. The WAND test (can the maxima of the lists that meet here reach the threshold?)
+is made window by window, for many queries in one array operation; blocks of windows that fail are not read.
 
 Null and empty texts have no terms: they are never found, and as queries find nothing (no row). Ties go to the
 smaller doc_id. Rows with a null doc_id are no queries and are not found. Rows that repeat a doc_id are documents of their own.
@@ -19,8 +20,6 @@ smaller doc_id. Rows with a null doc_id are no queries and are not found. Rows t
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,8 +132,8 @@ def _add_up(table: pa.Table) -> pa.Table:
 
 def _make_queries(n_docs: int, n_terms: int):
     def run(queries: pa.Table, answers: pa.Table) -> pa.Table:
-        names, types = ["doc_id", "key", "terms", "weights"], [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
-        rows: list[list] = [[], [], [], []]
+        names, types = ["doc_id", "key", "home", "terms", "weights"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        rows: list[list] = [[], [], [], [], []]
         for row in queries.to_pylist() if answers.num_rows else []:  # without terms there is nothing to ask
             ids, (doc, owner, tf) = _unpack(row["ids"], np.int64), np.split(_unpack(row["queries"], np.uint32), 3)
             slot = np.searchsorted(_unpack(row["wanted"], np.uint32), owner)
@@ -153,143 +152,122 @@ def _make_queries(n_docs: int, n_terms: int):
                 s = np.sort(s)
                 h = hashes[s].view(np.int64)
                 mixed = int(np.bitwise_xor.reduce((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (h.view(np.uint64) >> np.uint64(29))))
-                for column, x in zip(rows, (int(ids[d]), mixed - (1 << 64) if mixed >> 63 else mixed, h.tolist(), idf[s].tolist())):
+                for column, x in zip(rows, (int(ids[d]), mixed - (1 << 64) if mixed >> 63 else mixed, row["shard"], h.tolist(), idf[s].tolist())):
                     column.append(x)
         return pa.table([pa.array(c, t) for c, t in zip(rows, types)], names=names)
 
     return run
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... counts[i] of them, for all i."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each q by falling score, then id; sorted so."""
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], ids[keep], scores[keep]
+
+
 class Shard:
-    """A shard in memory: impacts of all postings without idf, their maxima by block and by list."""
+    """A shard in memory: impacts of all postings without idf, and their maxima in each list's blocks.
+
+    A block is what a list has in one window of BLOCK documents, so the blocks of all lists are aligned.
+    """
 
     def __init__(self, row: dict, average: float) -> None:
         self.ids = _unpack(row["ids"], np.int64)
         lengths = _unpack(row["lengths"], np.int64)
         self.terms = np.cumsum(_unpack(row["terms"], np.uint64), dtype=np.uint64)
-        counts = _unpack(row["starts"], np.uint32).astype(np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(counts)])
-        gaps = _unpack(row["docs"], np.uint32)
-        self.docs = np.cumsum(gaps, dtype=np.uint32).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(_unpack(row["starts"], np.uint32).astype(np.int64))])
+        self.docs = np.cumsum(_unpack(row["docs"], np.uint32), dtype=np.uint32).astype(np.int64)
         tf = _unpack(row["tfs"], np.uint32).astype(np.float64)
         norm = K1 * (1 - B + B * lengths / (average or 1.0))
         self.impacts = tf * (K1 + 1) / (tf + norm[self.docs]) if len(tf) else tf
-        # blocks never cross lists: each list has ceil(length / BLOCK)
-        blocks = -(-counts // BLOCK)
-        self.block_starts = np.concatenate([[0], np.cumsum(blocks)])
-        n = int(self.block_starts[-1])
-        owner = np.repeat(np.arange(len(counts)), blocks)
-        first = self.starts[owner] + (np.arange(n) - self.block_starts[owner]) * BLOCK
-        if n:
-            self.block_max = np.maximum.reduceat(self.impacts, first)
-            self.block_last = self.docs[np.minimum(first + BLOCK, self.starts[owner + 1]) - 1]
-            self.list_max = np.maximum.reduceat(self.block_max, self.block_starts[:-1])
-        else:
-            self.block_max = self.block_last = self.list_max = np.zeros(0)
-
-    def search(self, found: list[tuple[int, float]], k: int, floor: float) -> list[tuple[float, int]]:
-        """Top k (score, local document) of a query's (list, idf); nothing below floor."""
-        total = sum(int(self.starts[t + 1] - self.starts[t]) for t, _ in found)
-        if total <= BLOCK:
-            docs = np.concatenate([self.docs[self.starts[t] : self.starts[t + 1]] for t, _ in found])
-            parts = np.concatenate([self.impacts[self.starts[t] : self.starts[t + 1]] * w for t, w in found])
-            if len(found) > 1:
-                docs, at = np.unique(docs, return_inverse=True)
-                parts = np.bincount(at, parts)  # adds in the order of the terms, as wand() does
-            best = [(s, d) for s, d in zip(parts.tolist(), docs.tolist()) if s >= floor - 1e-9]
-            return heapq.nsmallest(k, best, key=lambda x: (-x[0], x[1])) if len(best) > k else best
-        return self.wand(found, k, floor)
-
-    def wand(self, found: list[tuple[int, float]], k: int, floor: float) -> list[tuple[float, int]]:
-        docs, impacts, block_max, block_last = self.docs, self.impacts, self.block_max, self.block_last
-        # cursor: [document, position, end, list maximum, idf, first block, end of blocks, term's place, start]
-        cursors = []
-        for place, (t, w) in enumerate(found):
-            a, b = int(self.starts[t]), int(self.starts[t + 1])
-            cursors.append([int(docs[a]), a, b, float(self.list_max[t]) * w, w, int(self.block_starts[t]), int(self.block_starts[t + 1]), place, a])
-        heap: list[tuple[float, int]] = []
-        least = floor - 1e-9  # at first ties with the floor count: another shard's document may have the larger id
-
-        def advance(c: list, to: int) -> None:
-            c[1] = bisect_left(docs, to, c[1], c[2])
-            c[0] = int(docs[c[1]]) if c[1] < c[2] else 1 << 62
-
-        while True:
-            cursors = [c for c in cursors if c[1] < c[2]]
-            cursors.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for i, c in enumerate(cursors):
-                bound += c[3]
-                if bound > least:
-                    pivot = i
-                    break
-            if pivot < 0:
-                break
-            at = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
-                pivot += 1
-            bound, ends = 0.0, 1 << 62
-            for c in cursors[: pivot + 1]:  # blocks that would hold the pivot
-                j = bisect_left(block_last, at, c[5], c[6])
-                if j < c[6]:
-                    bound += float(block_max[j]) * c[4]
-                    ends = min(ends, int(block_last[j]) + 1)
-            if bound > least:
-                if cursors[0][0] == at:
-                    parts = sorted((c[7], float(impacts[c[1]]) * c[4]) for c in cursors[: pivot + 1])
-                    score = 0.0
-                    for _, x in parts:
-                        score += x
-                    if score >= floor - 1e-9:
-                        if len(heap) < k:
-                            heapq.heappush(heap, (score, -at))
-                        elif score > heap[0][0]:
-                            heapq.heapreplace(heap, (score, -at))
-                        if len(heap) == k:
-                            least = max(least, heap[0][0])
-                    for c in cursors[: pivot + 1]:
-                        c[1] += 1
-                        c[0] = int(docs[c[1]]) if c[1] < c[2] else 1 << 62
-                else:
-                    for c in cursors[:pivot]:
-                        if c[0] < at:
-                            advance(c, at)
-            else:  # no document before the next block boundary can reach the threshold
-                to = max(min(ends, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 62), at + 1)
-                for c in cursors[: pivot + 1]:
-                    if c[0] < to:
-                        advance(c, to)
-        return [(s, -d) for s, d in heap]
-
-
-def _search_block(queries, average: float, k: int):
-    """Over a task's shards: the best k of every query of a block."""
+        window = self.docs // BLOCK
+        fresh = np.ones(len(window), bool)
+        fresh[1:] = window[1:] != window[:-1]
+        fresh[starts[:-1]] = True
+        self.block_start = np.flatnonzero(fresh)
+        self.block_size = np.diff(np.append(self.block_start, len(window)))
+        self.block_window = window[self.block_start]
+        self.block_max = np.maximum.reduceat(self.impacts, self.block_start) if len(window) else np.zeros(0)
+        self.first_block = np.searchsorted(self.block_start, starts)
+        self.windows = -(-len(self.ids) // BLOCK)
+
+    def search(self, q: np.ndarray, lists: np.ndarray, idfs: np.ndarray, floors: np.ndarray, k: int, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Top k (query, local document, score) of many queries: (q ascending, list, idf) of their terms; floors by query.
+
+        The pivot test of block-max WAND is made for all windows of a batch of queries at once: a window is entered only
+        if the maxima of its blocks can reach the query's threshold, and only blocks in such windows are read.
+        """
+        out = []
+        queries = np.unique(q)
+        step = max(1, cells // max(len(self.ids), 1))
+        for at in range(0, len(queries), step):
+            own = queries[at : at + step]
+            a, b = np.searchsorted(q, own[0]), np.searchsorted(q, own[-1], side="right")
+            local = np.searchsorted(own, q[a:b])
+            counts = self.first_block[lists[a:b] + 1] - self.first_block[lists[a:b]]
+            block = _spread(self.first_block[lists[a:b]], counts)
+            of, w = np.repeat(local, counts), np.repeat(idfs[a:b], counts)
+            cell = of * self.windows + self.block_window[block]
+            bound = np.bincount(cell, self.block_max[block] * w)
+            enter = bound[cell] >= floors[own][of] - 1e-9  # ties with the floor count: the other document may have the larger id
+            block, of, w = block[enter], of[enter], w[enter]
+            size = self.block_size[block]
+            post = _spread(self.block_start[block], size)
+            key = np.repeat(of, size) * len(self.ids) + self.docs[post]
+            parts = self.impacts[post] * np.repeat(w, size)  # added in the order of the terms
+            if len(key) * 8 < len(own) * len(self.ids):
+                key, inverse = np.unique(key, return_inverse=True)
+                score = np.bincount(inverse, parts, len(key))
+            else:
+                score = np.bincount(key, parts)
+                key = np.flatnonzero(score)
+                score = score[key]
+            of = own[key // max(len(self.ids), 1)]
+            good = score >= floors[of] - 1e-9
+            out.append(_best(of[good], (key % max(len(self.ids), 1))[good], score[good], k))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _search_block(queries, average: float, k: int, home: bool):
+    """Over a task's shards: the best k of every query of a block. home: only of the queries that come from the shard,
+    and only the k-th score, which no document of the result can stay below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, flat, weights, cuts = queries.value
-        best: dict[int, list[tuple[float, int]]] = {}  # ascending (-score, doc_id)
+        keys, flat, weights, cuts, homes, floors = queries.value
+        floors = floors.copy()
         owner = np.repeat(np.arange(len(keys)), np.diff(cuts))
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard({n: batch.column(n)[i].as_py() for n in ("ids", "lengths", "terms", "starts", "docs", "tfs")}, average)
+                row = {n: batch.column(n)[i].as_py() for n in ("shard", "ids", "lengths", "terms", "starts", "docs", "tfs")}
+                mine = np.flatnonzero(homes[owner] == row["shard"]) if home else slice(None)
+                words, of, idfs = flat[mine], owner[mine], weights[mine]
+                if not len(words):
+                    continue
+                shard = Shard(row, average)
                 if not len(shard.terms):
                     continue
-                at = np.minimum(np.searchsorted(shard.terms, flat), len(shard.terms) - 1)
-                hit = np.flatnonzero(shard.terms[at] == flat)
-                of = owner[hit]
-                bounds = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else np.zeros(1, np.int64)
-                lists, idfs = at[hit].tolist(), weights[hit].tolist()
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    q = int(of[a])
-                    own = best.get(q)
-                    floor = -own[-1][0] if own and len(own) == k else 0.0
-                    found = [(-s, int(shard.ids[d])) for s, d in shard.search(list(zip(lists[a:b], idfs[a:b])), k, floor)]
-                    if found:
-                        best[q] = sorted((own or []) + found)[:k]
-        rows = [(int(keys[q]), d, -s) for q, own in best.items() for s, d in own]
-        for at in range(0, len(rows), 50_000):
-            part = rows[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.float64())], names=["key", "doc_id", "score"])
+                at = np.minimum(np.searchsorted(shard.terms, words), len(shard.terms) - 1)
+                hit = np.flatnonzero(shard.terms[at] == words)
+                q, d, s = shard.search(of[hit], at[hit], idfs[hit], floors, k)
+                best = _best(np.concatenate([best[0], q]), np.concatenate([best[1], shard.ids[d]]), np.concatenate([best[2], s]), k)
+                last = np.flatnonzero(np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == k - 1)
+                floors[best[0][last]] = np.maximum(floors[best[0][last]], best[2][last])
+        if home:
+            reached = np.flatnonzero(floors > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[reached]), pa.array(np.zeros(len(reached), np.int64)), pa.array(floors[reached])], names=["key", "doc_id", "score"])
+            return
+        for at in range(0, len(best[0]), 100_000):
+            q, d, s = (x[at : at + 100_000] for x in best)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[q]), pa.array(d), pa.array(s)], names=["key", "doc_id", "score"])
 
     return run
 
@@ -305,22 +283,28 @@ def search(docs: DataFrame, every: int = EVERY, k: int = K, n_terms: int = TERMS
     average = n_words / max(n_docs, 1)
     answers = made.filter("part >= 0").select("shard", "part", "terms", "starts", "wanted").groupBy("part").applyInArrow(_add_up, "shard long, part int, terms binary, df binary")
     asked = made.filter("part = -2").select("shard", "ids", "wanted", "queries")
-    formed = asked.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_make_queries(int(n_docs), n_terms), "doc_id long, key long, terms array<long>, weights array<double>")
+    formed = asked.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_make_queries(int(n_docs), n_terms), "doc_id long, key long, home long, terms array<long>, weights array<double>")
     queries = save(formed, "search-queries").df
-    distinct = save(queries.dropDuplicates(["key"]).select("key", "terms", "weights"), "search-distinct").df
+    distinct = save(queries.dropDuplicates(["key"]).select("key", "home", "terms", "weights"), "search-distinct").df
     blocks = distinct.count() // query_block + 1
     spans = max(2 * spark.sparkContext.defaultParallelism, shards // 64)
     # a task gets a fair number of shards, and keeps one top k over all of them
-    dealt = made.filter("part = -1").select("ids", "lengths", "terms", "starts", "docs", "tfs")
-    dealt = save(dealt.repartition(min(spans, shards)), "search-shards").df if blocks > 1 else dealt.repartition(min(spans, shards))
+    dealt = made.filter("part = -1").select("shard", "ids", "lengths", "terms", "starts", "docs", "tfs")
+    dealt = save(dealt.repartition(min(spans, shards)), "search-shards").df
     found = None
     for b in range(blocks):
         rows = distinct.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toPandas()  # about query_block queries of n_terms terms
         if not len(rows):
             continue
         cuts = np.concatenate([[0], np.cumsum([len(t) for t in rows["terms"]])])
-        shared = spark.sparkContext.broadcast((rows["key"].to_numpy(), np.concatenate(list(rows["terms"])).astype(np.int64).view(np.uint64), np.concatenate(list(rows["weights"])).astype(float), cuts))
-        part = save(dealt.mapInArrow(_search_block(shared, average, k), "key long, doc_id long, score double"), "search-found").df
+        keys, words, weights = rows["key"].to_numpy(), np.concatenate(list(rows["terms"])).astype(np.int64).view(np.uint64), np.concatenate(list(rows["weights"])).astype(float)
+        floors, schema = np.zeros(len(keys)), "key long, doc_id long, score double"
+        shared = spark.sparkContext.broadcast((keys, words, weights, cuts, rows["home"].to_numpy(), floors))
+        order = np.argsort(keys)
+        for r in dealt.mapInArrow(_search_block(shared, average, k, True), schema).collect():  # a number for each query of the block
+            floors[order[np.searchsorted(keys[order], r.key)]] = r.score
+        shared = spark.sparkContext.broadcast((keys, words, weights, cuts, rows["home"].to_numpy(), floors))
+        part = save(dealt.mapInArrow(_search_block(shared, average, k, False), schema), "search-found").df
         found = part if found is None else found.unionByName(part)
     if found is None:
         return queries.select(F.col("doc_id").alias("query_id"), F.lit(0).alias("rank"), "doc_id", F.lit(0.0).alias("score")).limit(0)

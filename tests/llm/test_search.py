@@ -65,16 +65,22 @@ def test_long_lists_are_pruned_exactly():
     term_gaps[1:] -= terms[:-1]
     pack = search._pack
     shard = search.Shard({"ids": pack(np.arange(3000)), "lengths": pack(lengths), "terms": pack(term_gaps), "starts": pack(np.diff(starts).astype(np.uint32)), "docs": pack(gaps), "tfs": pack(tfs)}, lengths.mean())
-    for _ in range(30):
-        found = [(int(t), float(w)) for t, w in zip(np.sort(rng.choice(len(terms), rng.integers(1, 6), replace=False)), rng.random(6) * 3 + 0.1)]
+    chosen, totals = [], []
+    for q in range(30):
+        found = [(q, int(t), float(w)) for t, w in zip(np.sort(rng.choice(len(terms), rng.integers(1, 6), replace=False)), rng.random(6) * 3 + 0.1)]
         total = np.zeros(3000)
-        for t, w in found:
-            np.add.at(total, shard.docs[shard.starts[t] : shard.starts[t + 1]], shard.impacts[shard.starts[t] : shard.starts[t + 1]] * w)
-        order = sorted(range(3000), key=lambda d: (-total[d], d))[:10]
-        got = sorted(shard.search(found, 10, 0.0), key=lambda x: (-x[0], x[1]))
-        assert [d for _, d in got] == [d for d in order if total[d] > 0]
-        floor = sorted(total)[-5]
-        assert {d for s, d in shard.search(found, 10, floor) if s >= floor} == {d for d in range(3000) if total[d] >= floor} or (total >= floor).sum() > 10
+        for _, t, w in found:
+            np.add.at(total, shard.docs[starts[t] : starts[t + 1]], shard.impacts[starts[t] : starts[t + 1]] * w)
+        chosen += found
+        totals.append(total)
+    q, lists, idfs = (np.array(x) for x in zip(*chosen))
+    for floors in (np.zeros(30), np.array([sorted(t)[-5] for t in totals])):
+        for cells in (4_000_000, 9_000):
+            of, docs_found, scores = shard.search(q, lists, idfs, floors, 10, cells)
+            for i, total in enumerate(totals):
+                order = [d for d in sorted(range(3000), key=lambda d: (-total[d], d))[:10] if total[d] > 0 and total[d] >= floors[i]]
+                assert docs_found[of == i].tolist() == order
+                assert np.array_equal(scores[of == i], total[order])
 
 
 @pytest.mark.parametrize("rows", [[], [(20, None), (40, ""), (None, "a b"), (60, "!?")], [(20, "one"), (20, "one"), (21, None)], [(0, "wort " * 30000 + "ende"), (3, "ende")]])
