@@ -64,10 +64,12 @@ def linked(
     keys have a slot: the pair's other keys don't emit it again). Pairs in one component need no link. Together
     this is exact: a pair that shares a key and fulfils near and verify is either found or already connected.
 
-    features(ids) gives (id, f) for a table of ids; near compares two f; verify keeps the (a, b) that are links.
+    features(ids) gives (id, f) for a table of ids, and is asked once; near compares two f; verify keeps the (a, b) that are links.
     """
     lead = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     shared = save(keys.join(lead, "key"), "link-keys")
+    own = save(features(shared.df.select("id").distinct()), "link-features").df
+    features = lambda ids: own.join(ids, "id", "left_semi")
     found = shared.df.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     roots: DataFrame | None = None
     rest = shared

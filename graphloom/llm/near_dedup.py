@@ -5,8 +5,9 @@ signature has SYMBOLS b-bit symbols, the low bits of that many min-hashes; the d
 number of symbols that differ. The signature is split into CHUNKS chunks. If two signatures differ in at most
 2 * CHUNKS - 1 symbols, some chunk has at most one error (pigeonhole), so each chunk is indexed under every
 way to leave one symbol out. All pairs within that distance share a key, and a pair with Jaccard similarity
-0.8 shares none with a probability of about 1e-7. Candidates up to distance LOOSE are confirmed on the full
-sets of words.
+0.8 shares none with a probability of about 1e-7. Candidates up to distance LOOSE are held against
+one-permutation sketches of BINS bytes, and what these leave possible (all but five standard deviations) is confirmed
+on the full sets of words.
 
 Documents with one set are collapsed to a class first, so copies make no pairs; linking.linked avoids the pairs in
 groups of near copies, and its last search emits a pair once, at the first key that it shares. Rows with a null id get the component of their class if other rows of it have an id,
@@ -25,6 +26,7 @@ from .common import Saved, save
 from .linking import linked
 
 SYMBOLS, CHUNKS, LOOSE = 60, 12, 26
+BINS = 256
 PER_CHUNK, LONGS = SYMBOLS // CHUNKS, 2 * CHUNKS  # a chunk is one long and the low 16 bits of another
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,7 +64,15 @@ def signature(h: np.ndarray) -> np.ndarray:
     return padded.ravel()
 
 
-SIGNED = "doc_id {id}, n_shingles long, h1 long, h2 long, f array<long>"
+def sketch(h: np.ndarray) -> np.ndarray:
+    """One-permutation sketch of sorted hashes: for each of BINS ranges of values a byte of the least one, 0 if there is none."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique(h >> np.uint64(56), return_index=True)
+    out[bins.astype(np.int64)] = (h[first] ^ (h[first] >> np.uint64(23))) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+SIGNED = "doc_id {id}, n_shingles long, h1 long, h2 long, f array<long>, g array<long>"
 
 
 def signed(docs: DataFrame, width: int) -> Saved:
@@ -73,17 +83,17 @@ def signed(docs: DataFrame, width: int) -> Saved:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, ids, sigs = [], [], []
+                n, ids, sigs, sketches = [], [], [], []
                 for text in part.column("text").to_pylist():
                     h = shingle_hashes(text, width)
                     n.append(len(h))
                     ids.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64))
                     sigs.append(signature(h).view(np.int64))
+                    sketches.append(sketch(h).view(np.int64))
                 ids = np.array(ids).reshape(-1, 2)
-                flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
-                sig = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * LONGS), flat)
-                columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), sig]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "f"])
+                lists = lambda parts, size: pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * size), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))  # noqa: E731,B023
+                columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), lists(sigs, LONGS), lists(sketches, BINS // 8)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "f", "g"])
 
     return save(docs.select("doc_id", "text").mapInArrow(run, SIGNED.format(id=kind)), "signatures")
 
@@ -119,10 +129,15 @@ def _errors(a, b, chunk: int):
 
 def near(a, b):
     """Distance of two signatures at most LOOSE."""
+    return distance(a, b) <= LOOSE
+
+
+def distance(a, b):
+    """Symbols that differ."""
     total = _errors(a, b, 0)
     for chunk in range(1, CHUNKS):
         total = total + _errors(a, b, chunk)
-    return total <= LOOSE
+    return total
 
 
 def once(a, b, slot):
@@ -136,6 +151,25 @@ def once(a, b, slot):
     return (first == chunk) & (~exact | (slot % PER_CHUNK == 0))
 
 
+def hopeful(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches leave it possible that they reach the similarity: five standard deviations below it."""
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("g").alias(f"g_{c}"))
+    low, differ, empty = F.lit(0x0101010101010101), F.lit(0), F.lit(0)
+    for i in range(BINS // 8):
+        for both in (True, False):
+            x = F.col("g_a")[i].bitwiseXOR(F.col("g_b")[i]) if both else F.col("g_a")[i].bitwiseOR(F.col("g_b")[i])
+            for shift in (4, 2, 1):  # a byte is folded onto its lowest bit
+                x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit({4: 0x0F0F0F0F0F0F0F0F, 2: 0x3F3F3F3F3F3F3F3F, 1: 0x7F7F7F7F7F7F7F7F}[shift])))
+            n = F.bit_count(x.bitwiseAND(low))
+            if both:
+                differ = differ + n
+            else:
+                empty = empty + (8 - n)
+    share = 1 - percent / 100
+    most = share + 5 * (share * (1 - share) / BINS) ** 0.5
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(differ <= most * (BINS - empty) + 2).select("a", "b")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()  # pairs are a written table, read twice
@@ -161,11 +195,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept, for every row."""
     sets = signed(docs, width).df
     classes = sets.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.col("doc_id").cast("long")).alias("rep"))
-    signatures = sets.filter("n_shingles > 0").select(F.col("doc_id").cast("long").alias("id"), "h1", "h2", "f")
+    signatures = sets.filter("n_shingles > 0").select(F.col("doc_id").cast("long").alias("id"), "h1", "h2", "f", "g")
     owned = classes.filter("rep IS NOT NULL")
-    reps = save(signatures.join(owned, (signatures.id == owned.rep) & (signatures.h1 == owned.h1) & (signatures.h2 == owned.h2)).select("id", "f").distinct(), "reps")
+    reps = save(signatures.join(owned, (signatures.id == owned.rep) & (signatures.h1 == owned.h1) & (signatures.h2 == owned.h2)).select("id", "f", "g").dropDuplicates(["id"]), "reps")
     keys = save(index_keys(reps.df), "chunk-keys")
-    roots = linked(keys.df, lambda ids: reps.df.join(ids, "id", "left_semi"), near, lambda pairs: confirm(pairs, docs, width, percent), once)
+    roots = linked(keys.df, lambda ids: reps.df.select("id", "f").join(ids, "id", "left_semi"), near, lambda pairs: confirm(save(hopeful(pairs, reps.df, percent), "hopeful").df, docs, width, percent), once)
     keys.drop()
     found = save(classes.join(roots, classes.rep == roots.v, "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id")), "classes").df
     joined = sets.select("doc_id", "n_shingles", "h1", "h2").join(found, ["h1", "h2"], "left")
