@@ -35,7 +35,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(table(spark, sf_dir, "documents"))
+    return search.search(table(spark, sf_dir, "documents"), n_terms=None)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

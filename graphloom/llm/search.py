@@ -5,14 +5,17 @@ postings. Every shard sends its distinct terms once with their document frequenc
 they are added up, and the shard gets back the global ones of the terms that its queries hold. So all shards
 score with the same N, average length and frequencies, and the merge of their top k is the exact top k.
 
-Queries: the `terms` terms of a document with the greatest tf * idf (ties: least hash), taken from its whole text. Equal
-queries are run once. They are run in blocks of QUERY_BLOCK, whose size bounds what is broadcast; a task
-keeps the running top k of a block over all shards that it reads.
+Queries: all distinct terms of a document (n_terms=None, as op6_topk_search does), or its `n_terms` terms with the greatest
+tf * idf (ties: least hash). Equal queries are run once. They are run in blocks of QUERY_BLOCK queries and TERM_BLOCK
+terms at most on average, which bounds what is broadcast; a task keeps the running top k of a block over all shards that it reads.
 
 Pruning: a query is first run over the shard that it comes from. Its k-th score there is a threshold that holds
 everywhere, and rises with the task's running top k. Postings are in order of documents and have maxima for blocks, aligned
 to windows of BLOCK documents. The WAND test (can the maxima of the lists that meet here reach the threshold?)
 is made window by window, for many queries in one array operation; blocks of windows that fail are not read.
+Whole texts have hundreds of terms, whose maxima reach every threshold. They are scored without the test: the lists of
+frequent terms are a matrix that many queries are multiplied with, the others are added posting by posting, and
+scores are rounded to nine decimals, so that copies tie whatever the order of the additions.
 
 Null and empty texts have no terms: they are never found, and as queries find nothing (no row). Ties go to the
 smaller doc_id. Rows with a null doc_id are no queries and are not found. Rows that repeat a doc_id are documents of their own.
@@ -33,7 +36,7 @@ from .common import real_words, save
 from .lm_score import _Hashes, _planes, _unplanes
 
 K1, B, K, TERMS, EVERY = 1.2, 0.75, 10, 8, 20
-SHARD_BYTES, BLOCK, QUERY_BLOCK = 16 << 20, 64, 20_000
+SHARD_BYTES, BLOCK, QUERY_BLOCK, TERM_BLOCK = 16 << 20, 64, 20_000, 1_000_000
 
 INDEX = "shard long, part int, ids binary, lengths binary, terms binary, starts binary, docs binary, tfs binary, wanted binary, queries binary, n_docs long, n_words long"
 FIELDS = [f.split() for f in INDEX.split(", ")]
@@ -130,7 +133,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     return pa.table([table.column("shard"), table.column("part").cast(pa.int32()), pa.array(hashes, pa.binary()), pa.array([a for a, _ in answers], pa.binary())], names=["shard", "part", "terms", "df"])
 
 
-def _make_queries(n_docs: int, n_terms: int):
+def _make_queries(n_docs: int, n_terms: int | None):
     def run(queries: pa.Table, answers: pa.Table) -> pa.Table:
         names, types = ["doc_id", "key", "home", "terms", "weights"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
         rows: list[list] = [[], [], [], [], []]
@@ -145,8 +148,9 @@ def _make_queries(n_docs: int, n_terms: int):
             order = np.lexsort((slot, -(tf * idf[slot]), doc))
             doc, slot = doc[order], slot[order]
             place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            keep = place < n_terms
-            doc, slot = doc[keep], slot[keep]
+            if n_terms is not None:
+                keep = place < n_terms
+                doc, slot = doc[keep], slot[keep]
             cuts = np.flatnonzero(np.diff(doc)) + 1
             for d, s in zip(doc[np.concatenate([[0], cuts])].tolist() if len(doc) else [], np.split(slot, cuts)):
                 s = np.sort(s)
@@ -179,7 +183,7 @@ class Shard:
     A block is what a list has in one window of BLOCK documents, so the blocks of all lists are aligned.
     """
 
-    def __init__(self, row: dict, average: float) -> None:
+    def __init__(self, row: dict, average: float, blocks: bool = True) -> None:
         self.ids = _unpack(row["ids"], np.int64)
         lengths = _unpack(row["lengths"], np.int64)
         self.terms = np.cumsum(_unpack(row["terms"], np.uint64), dtype=np.uint64)
@@ -188,6 +192,9 @@ class Shard:
         tf = _unpack(row["tfs"], np.uint32).astype(np.float64)
         norm = K1 * (1 - B + B * lengths / (average or 1.0))
         self.impacts = tf * (K1 + 1) / (tf + norm[self.docs]) if len(tf) else tf
+        self.starts, self.matrix = starts, None
+        if not blocks:  # search_whole() reads none
+            return
         window = self.docs // BLOCK
         fresh = np.ones(len(window), bool)
         fresh[1:] = window[1:] != window[:-1]
@@ -236,7 +243,46 @@ class Shard:
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def _search_block(queries, average: float, k: int, home: bool):
+    def frequent(self, share: int = 20, cells: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """Each list's row in the matrix or -1, and the matrix: impacts of the lists with one document in `share` or more."""
+        if self.matrix is None:
+            counts = np.diff(self.starts)
+            rows = np.flatnonzero(counts * share >= len(self.ids))
+            rows = rows[np.argsort(-counts[rows], kind="stable")][: max(1, cells // len(self.ids))]
+            place, dense = np.full(len(counts), -1), np.zeros((len(rows), len(self.ids)))
+            place[rows] = np.arange(len(rows))
+            post = _spread(self.starts[rows], counts[rows])
+            dense[np.repeat(np.arange(len(rows)), counts[rows]), self.docs[post]] = self.impacts[post]
+            self.matrix = place, dense
+        return self.matrix
+
+    def search_whole(self, q: np.ndarray, lists: np.ndarray, idfs: np.ndarray, floors: np.ndarray, k: int, cells: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As search(), for queries of many terms."""
+        place, dense = self.frequent()
+        n, out, queries = len(self.ids), [], np.unique(q)
+        step = max(1, cells // n)
+        for at in range(0, len(queries), step):
+            own = queries[at : at + step]
+            a, b = np.searchsorted(q, own[0]), np.searchsorted(q, own[-1], side="right")
+            local, here, w = np.searchsorted(own, q[a:b]), lists[a:b], idfs[a:b]
+            often = place[here] >= 0
+            weights = np.zeros((len(own), len(dense)))
+            weights[local[often], place[here[often]]] = w[often]
+            scores = weights @ dense
+            local, here, w = local[~often], here[~often], w[~often]
+            counts = self.starts[here + 1] - self.starts[here]
+            post = _spread(self.starts[here], counts)
+            np.add.at(scores.reshape(-1), np.repeat(local * n, counts) + self.docs[post], self.impacts[post] * np.repeat(w, counts))
+            least = np.maximum(floors[own] - 1e-8, 1e-12)
+            many = np.flatnonzero((scores >= least[:, None]).sum(axis=1) > 2 * k)
+            if len(many):
+                least[many] = np.maximum(least[many], np.partition(scores[many], n - k, axis=1)[:, n - k] - 1e-8)
+            of, docs = np.nonzero(scores >= least[:, None])
+            out.append(_best(own[of], docs, np.round(scores[of, docs], 9), k))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _search_block(queries, average: float, k: int, home: bool, whole: bool):
     """Over a task's shards: the best k of every query of a block. home: only of the queries that come from the shard,
     and only the k-th score, which no document of the result can stay below."""
 
@@ -244,7 +290,7 @@ def _search_block(queries, average: float, k: int, home: bool):
         keys, flat, weights, cuts, homes, floors = queries.value
         floors = floors.copy()
         owner = np.repeat(np.arange(len(keys)), np.diff(cuts))
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        best, shard = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in ("shard", "ids", "lengths", "terms", "starts", "docs", "tfs")}
@@ -252,12 +298,14 @@ def _search_block(queries, average: float, k: int, home: bool):
                 words, of, idfs = flat[mine], owner[mine], weights[mine]
                 if not len(words):
                     continue
-                shard = Shard(row, average)
+                shard = None  # two at once would be held otherwise
+                shard = Shard(row, average, not whole)
+                del row
                 if not len(shard.terms):
                     continue
                 at = np.minimum(np.searchsorted(shard.terms, words), len(shard.terms) - 1)
                 hit = np.flatnonzero(shard.terms[at] == words)
-                q, d, s = shard.search(of[hit], at[hit], idfs[hit], floors, k)
+                q, d, s = (shard.search_whole if whole else shard.search)(of[hit], at[hit], idfs[hit], floors, k)
                 best = _best(np.concatenate([best[0], q]), np.concatenate([best[1], shard.ids[d]]), np.concatenate([best[2], s]), k)
                 last = np.flatnonzero(np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == k - 1)
                 floors[best[0][last]] = np.maximum(floors[best[0][last]], best[2][last])
@@ -272,8 +320,11 @@ def _search_block(queries, average: float, k: int, home: bool):
     return run
 
 
-def search(docs: DataFrame, every: int = EVERY, k: int = K, n_terms: int = TERMS, shard_bytes: int = SHARD_BYTES, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, doc_id, score: for each row whose doc_id is divisible by `every`, the k best of all rows."""
+def search(docs: DataFrame, every: int = EVERY, k: int = K, n_terms: int | None = TERMS, shard_bytes: int = SHARD_BYTES, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, doc_id, score: for each row whose doc_id is divisible by `every`, the k best of all rows.
+
+    n_terms=None: queries are whole texts, without a choice of terms.
+    """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(size // shard_bytes) + 1
@@ -286,25 +337,30 @@ def search(docs: DataFrame, every: int = EVERY, k: int = K, n_terms: int = TERMS
     formed = asked.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_make_queries(int(n_docs), n_terms), "doc_id long, key long, home long, terms array<long>, weights array<double>")
     queries = save(formed, "search-queries").df
     distinct = save(queries.dropDuplicates(["key"]).select("key", "home", "terms", "weights"), "search-distinct").df
-    blocks = distinct.count() // query_block + 1
+    n_queries, asked_terms = distinct.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(n_queries // query_block, asked_terms // TERM_BLOCK) + 1
     spans = max(2 * spark.sparkContext.defaultParallelism, shards // 64)
     # a task gets a fair number of shards, and keeps one top k over all of them
     dealt = made.filter("part = -1").select("shard", "ids", "lengths", "terms", "starts", "docs", "tfs")
     dealt = save(dealt.repartition(min(spans, shards)), "search-shards").df
     found = None
     for b in range(blocks):
-        rows = distinct.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toPandas()  # about query_block queries of n_terms terms
-        if not len(rows):
+        rows = distinct.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        if not rows.num_rows:
             continue
-        cuts = np.concatenate([[0], np.cumsum([len(t) for t in rows["terms"]])])
-        keys, words, weights = rows["key"].to_numpy(), np.concatenate(list(rows["terms"])).astype(np.int64).view(np.uint64), np.concatenate(list(rows["weights"])).astype(float)
+        lists = rows["terms"].combine_chunks()
+        cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        keys, homes = rows["key"].to_numpy(), rows["home"].to_numpy()
+        words, weights = lists.flatten().to_numpy().view(np.uint64), rows["weights"].combine_chunks().flatten().to_numpy()
         floors, schema = np.zeros(len(keys)), "key long, doc_id long, score double"
-        shared = spark.sparkContext.broadcast((keys, words, weights, cuts, rows["home"].to_numpy(), floors))
+        shared = spark.sparkContext.broadcast((keys, words, weights, cuts, homes, floors))
         order = np.argsort(keys)
-        for r in dealt.mapInArrow(_search_block(shared, average, k, True), schema).collect():  # a number for each query of the block
+        for r in dealt.mapInArrow(_search_block(shared, average, k, True, n_terms is None), schema).collect():  # a number for each query of the block
             floors[order[np.searchsorted(keys[order], r.key)]] = r.score
-        shared = spark.sparkContext.broadcast((keys, words, weights, cuts, rows["home"].to_numpy(), floors))
-        part = save(dealt.mapInArrow(_search_block(shared, average, k, False), schema), "search-found").df
+        shared.destroy(blocking=True)
+        shared = spark.sparkContext.broadcast((keys, words, weights, cuts, homes, floors))
+        part = save(dealt.mapInArrow(_search_block(shared, average, k, False, n_terms is None), schema), "search-found").df
+        shared.destroy(blocking=True)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return queries.select(F.col("doc_id").alias("query_id"), F.lit(0).alias("rank"), "doc_id", F.lit(0.0).alias("score")).limit(0)

@@ -91,3 +91,34 @@ def test_edges(spark, rows):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(20, "a b", 1, 2.0, "x")], "doc_id long, text string, key int, score double, rank string")
     assert [tuple(r)[:3] for r in search.search(df).collect()] == [(20, 1, 20)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 6000, "query_block": 10}])
+def test_query_searches_whole_texts(spark, tmp_path, monkeypatch, sizes):
+    """The registered query against BM25 over all distinct terms of the query rows."""
+    import random
+
+    from graphloom.llm import queries
+
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(900)], k=rng.choice([3, 60, 200])))) for i in range(500)]
+    rows += [(600 + i, rows[20][1]) for i in range(30)] + [(None, "w1 w2"), (700, None), (720, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    if sizes:
+        real = search.search
+        monkeypatch.setattr(search, "search", lambda docs, **more: real(docs, **more, **sizes))
+    got = {}
+    for r in queries.op6_topk_search(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.doc_id, r.score)
+    docs = [(i, Counter(real_words(t))) for i, t in rows if i is not None]
+    n, df = len(docs), Counter(w for _, c in docs for w in c)
+    average = sum(c.total() for _, c in docs) / n
+    idf = {w: math.log(1 + (n - f + 0.5) / (f + 0.5)) for w, f in df.items()}
+    asked = {i: own for i, own in docs if i % 20 == 0 and own}
+    assert set(got) == set(asked)
+    for i, own in asked.items():
+        scores = ((d, sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / average)) for w in own if w in c)) for d, c in docs)
+        best = sorted((-round(s, 7), d) for d, s in scores if s > 0)[:10]
+        assert [got[i][rank][0] for rank in range(1, len(best) + 1)] == [d for _, d in best], i
+        assert all(math.isclose(got[i][rank][1], -s, rel_tol=1e-6) for rank, (s, _) in enumerate(best, 1)), i
