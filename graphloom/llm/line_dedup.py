@@ -1,14 +1,15 @@
 """Fuzzy line dedup. DataFrame functions only.
 
-A line counts in lower case with white space collapsed; blank lines always stay. Its shingles are the runs of up to
-SHINGLE characters that begin at its words (a word being up to SHINGLE letters and digits with what separates it
-from the next; any other character, as in scripts without spaces, begins one itself), so every character
-is covered. Lines are alike at a Jaccard similarity of shingles of PERCENT or more.
+A line counts in lower case with white space collapsed; blank lines always stay. Its shingles are the runs of
+SHINGLE characters that begin at every character; a shorter line is one shingle. Lines are alike at a Jaccard
+similarity of shingles of PERCENT or more.
 
-Signature: the least and the greatest value of 8 hash functions over the shingles, 16 min-hashes, in 8 bands of
-two. A pair at 0.8 shares a band with a probability of 0.9997. Equal lines are one id. Candidates
-are verified on their exact shingle sets, and linking.linked joins them into components without the pairs
-of a group. One line a component stays: the first by doc_id and position.
+Signature: the hashes of the shingles in two orders, and in each the first hash at or after each of 32 even points of
+the circle. Each of these 64 values is the same in two lines with the probability of their similarity. Bands of four
+values (two of each order), 16 of them, are the keys that candidates share: were the values independent, a pair at 0.8
+would share one with a probability of 0.9998. The lowest bits of the values are a sketch of 64 bits, which sorts out
+unlike pairs. Equal lines are one id. The others are verified on their exact shingle sets, and linking.linked joins them
+into components without the pairs of a group. One line a component stays: the first by doc_id and position.
 
 Texts are read twice (for the signatures, and for the lines that are candidates) and never shuffled as a whole.
 Null and empty texts have no lines. Rows with a null doc_id come first in order. Repeated rows are rows of
@@ -23,9 +24,12 @@ from pyspark.sql import functions as F
 from .common import Saved, lower_ascii, save
 from .linking import linked
 
-SHINGLE, PERCENT = 16, 80
-HASHES = 8
-PATTERN = rf"(?=(.{{1,{SHINGLE}}}))(?:[a-z0-9ß-ſ]{{1,{SHINGLE}}}[ .,;:!?]*|.)"
+SHINGLE, PERCENT = 5, 80
+BANDS, POINTS = 16, 32
+#: Bits in which the sketches of a pair may differ: 6.4 of 64 at a similarity of 0.8, with a deviation of 2.4.
+APART = 22
+#: The shingles as a pattern. Signatures take the same runs from fixed-width characters, which costs less.
+PATTERN = rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}(?!.)))."
 
 
 def normal(line: Column) -> Column:
@@ -41,25 +45,60 @@ def line_id(norm: Column) -> Column:
     return F.xxhash64(norm, F.lit("line"))
 
 
+def shingles(norm: Column) -> Column:
+    """Hashes of the shingles of a line that is not blank, in order, with repeats."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(norm) - SHINGLE + 1, F.lit(1)))
+    runs = lambda u: F.transform(starts, lambda i: F.xxhash64(F.substring(u, 4 * i - 3, F.lit(4 * SHINGLE))))
+    return F.transform(F.array(F.encode(norm, "UTF-32")), runs)[0]  # a lambda's argument is made once a line
+
+
 def shingle_set(norm: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(norm, F.lit(PATTERN), F.lit(1)), lambda s: F.xxhash64(s)))
+    return F.array_distinct(shingles(norm))
+
+
+def signatures(d: DataFrame) -> DataFrame:
+    """d with bands and sketch instead of norm; both null where norm is null or empty.
+
+    Each step with many expressions has a lambda too, which keeps it out of whole-stage code: there they would be
+    one method, too large to be compiled by the JVM.
+    """
+    rest = [c for c in d.columns if c != "norm"]
+    points = [(i - POINTS // 2) * (1 << 64) // POINTS for i in range(POINTS)]
+
+    def marked(hashes: str, o: int) -> list[Column]:
+        return [F.sort_array(hashes).alias(f"s{o}"), F.sort_array(F.concat(hashes, F.array(*map(F.lit, points)))).alias(f"m{o}")]
 
+    def after(o: int, i: int) -> Column:
+        """The first hash at or after a point: the hashes before it are what stands before it but i other points."""
+        before = F.array_position(f"m{o}", F.lit(points[i])) - F.lit(1 + i)
+        return F.element_at(f"s{o}", (F.pmod(before, F.size(f"s{o}")) + 1).cast("int"))
 
-def bands(hashes: Column) -> Column:
-    """The least two and the greatest two of each pair of hash functions: HASHES bands."""
-    again = lambda i: lambda h: F.xxhash64(h, F.lit(i))  # noqa: E731  a second parameter would be the position
-    turned = [F.transform(hashes, again(i)) for i in range(HASHES)]
-    pick = lambda f, i: F.xxhash64(F.lit(i), f(turned[i]), f(turned[i + 1]))
-    return F.array(*(pick(f, i) for i in range(0, HASHES, 2) for f in (F.array_min, F.array_max)))
+    def values(o: int) -> Column:
+        return F.when(F.col(f"s{o}").isNotNull(), F.array(*(after(o, i) for i in range(POINTS)))).alias(f"v{o}")
+
+    def bits(o: int) -> Column:
+        return F.aggregate(f"v{o}", F.lit(0).cast("long"), lambda x, v: F.shiftleft(x, 1).bitwiseOR(v.bitwiseAND(F.lit(1).cast("long"))))
+
+    d = d.select(*rest, F.when(F.col("norm") != "", shingles(F.col("norm"))).alias("p0"))
+    d = d.select(*rest, "p0", *marked("p0", 0))
+    d = d.select(*rest, values(0), F.transform("p0", lambda h: F.xxhash64(h, F.lit(1))).alias("p1"))
+    d = d.select(*rest, "v0", *marked("p1", 1))
+    d = d.select(*rest, "v0", values(1), bits(0).alias("b0"))
+    band = lambda j: F.xxhash64(j, *(F.element_at(v, j + at) for v in ("v0", "v1") for at in range(0, POINTS, BANDS)))
+    bands = F.when(F.col("v0").isNotNull(), F.transform(F.array(*map(F.lit, range(1, BANDS + 1))), band))
+    return d.select(*rest, bands.alias("bands"), F.shiftleft("b0", POINTS).bitwiseOR(bits(1)).alias("sketch"))
 
 
 def signed(docs: DataFrame) -> Saved:
-    """A row for each line: row (its document's place), doc_id, pos, id, bands; documents without lines have pos null."""
+    """A row for each line: row (its document's place), doc_id, pos, id, bands, sketch; documents without lines have pos null."""
     d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     d = d.select("row", "doc_id", F.posexplode_outer(lines(F.col("text"))).alias("pos", "line"))
-    d = d.withColumn("norm", normal(F.col("line")))
-    d = d.withColumn("hashes", F.when(F.col("norm") != "", F.transform(F.regexp_extract_all("norm", F.lit(PATTERN), F.lit(1)), lambda s: F.xxhash64(s))))
-    return save(d.select("row", "doc_id", "pos", F.when(F.col("norm") != "", line_id(F.col("norm"))).alias("id"), F.when(F.size("hashes") > 0, bands(F.col("hashes"))).alias("bands")), "lines")
+    d = d.select("row", "doc_id", "pos", normal(F.col("line")).alias("norm"))
+    return save(signatures(d.select("row", "doc_id", "pos", F.when(F.col("norm") != "", line_id(F.col("norm"))).alias("id"), "norm")), "lines")
+
+
+def close(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= APART
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -70,14 +109,21 @@ def alike(a: Column, b: Column) -> Column:
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines, and (row, pos) of those that go."""
     all_lines = signed(docs).df
-    kinds = save(all_lines.filter("id IS NOT NULL").select("id", "bands").dropDuplicates(["id"]), "line-kinds").df
+    kinds = save(all_lines.filter("id IS NOT NULL").select("id", "bands", "sketch").dropDuplicates(["id"]), "line-kinds").df
     keys = kinds.select(F.posexplode("bands").alias("band", "key"), "id").select("key", "id")
     texts = docs.select(F.explode(lines(F.col("text"))).alias("line")).select(normal(F.col("line")).alias("norm")).withColumn("id", line_id(F.col("norm")))
+    candidates: list[DataFrame] = []
 
     def features(ids: DataFrame) -> DataFrame:
-        return save(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", shingle_set(F.col("norm")).alias("f")), "line-shingles").df
+        candidates.append(save(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-texts").df)
+        return kinds.join(ids, "id", "left_semi").select("id", F.col("sketch").alias("f"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        side = lambda c: candidates[0].select(F.col("id").alias(c), F.col("norm").alias(f"norm_{c}"))
+        sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", shingle_set(F.col("norm_a")).alias("f_a"), shingle_set(F.col("norm_b")).alias("f_b"))
+        return sets.filter(alike(F.col("f_a"), F.col("f_b"))).select("a", "b")
 
-    roots = linked(keys, features, alike)
+    roots = linked(keys, features, close, verify)
     owned = all_lines.filter("id IS NOT NULL").select("row", "doc_id", "pos", "id")
     owned = owned.join(roots.withColumnRenamed("v", "id"), "id", "left").select("row", F.struct("doc_id", "pos", "row").alias("at"), F.coalesce("root", "id").alias("root"))
     groups = owned.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")

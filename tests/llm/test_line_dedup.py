@@ -81,3 +81,27 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "same line here\nother")], "doc_id long, text string")
     plan = line_dedup.dedup(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_small_edits_match_a_brute_force_of_its_own(spark):
+    """One letter or one word changed in lines of 8 to 25 words; the shingles are made here, not with PATTERN."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for n in range(8, 26):
+        for _ in range(3):
+            ws = [word() for _ in range(n)]
+            line, at = " ".join(ws), rng.randrange(n)
+            letter = rng.randrange(len(line))
+            rows += [line, line[:letter] + "z" + line[letter + 1 :], " ".join([*ws[:at], word(), *ws[at + 1 :]])]
+    rows += ["𝒳𝒴𝒵 日本語の行" * 4, "𝒳𝒴𝒵 日本語の行" * 4 + "x", "abcd", "abce", "abcd"]
+    sets = [{s[i : i + 5] for i in range(max(1, len(s) - 4))} for s in rows]
+    root = list(range(len(rows)))
+    for k, x in enumerate(sets):
+        for j in range(k):
+            if 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
+                root = [root[j] if r == root[k] else r for r in root]
+    expected = {k for k in range(len(rows)) if root.index(root[k]) < k}
+    assert len(expected) > 60
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup(docs).collect() if r.removed} == expected
