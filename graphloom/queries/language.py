@@ -164,3 +164,21 @@ q("procedures_components", "CALL dbms.components() YIELD edition RETURN edition"
 q("show_databases", "SHOW DATABASES YIELD name RETURN name", "SELECT 'graph' AS name")
 q("explain", "EXPLAIN MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, count(n) AS n")
 q("profile", "PROFILE MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, count(n) AS n")
+
+
+# -- the same queries without the bounds on ids: every row is compared
+def whole(name: str, *bounds: str) -> None:
+    text, sql, params = LANGUAGE[name]
+    for bound in bounds:
+        assert bound in text + sql, bound
+        text, sql = text.replace(bound, ""), sql.replace(bound, "")
+    q(f"{name}_whole", text, sql, **params)
+
+
+whole("call_aggregate", " WHERE c.custkey < 50", " WHERE c_custkey < 50")
+whole("call_top_per_row", " WHERE c.custkey < 50", " WHERE o_custkey < 50")
+whole("unbounded", " WHERE c.custkey < 100", " WHERE c_custkey < 100")
+whole("list_comprehension", " WHERE o.orderkey < 40", " WHERE l_orderkey < 40")
+whole("set_properties", " WHERE s.suppkey < 5", " WHERE s_suppkey < 5")
+whole("optional_both_bound", " WHERE s.suppkey < 3 AND p.partkey < 20", " WHERE s_suppkey < 3 AND p_partkey < 20")
+whole("shortest_path", "b.user_id < 40 AND ", " WHERE v < 40")
