@@ -91,10 +91,21 @@ def fuzzy_matches(text: str, notices: tuple = NOTICES) -> list[tuple[int, int, i
             else:
                 joined.append([lo, hi])
         for lo, hi in joined:
-            found += [(i, m.start(), m.end(), sum(m.fuzzy_counts)) for m in patterns[i].finditer(text, lo, hi)]
+            found += [(i, *place) for place in _best_first(patterns[i], text, lo, hi, len(notices[i][1]) - notices[i][2])]
     return found
 
 
+def _best_first(pattern: regex.Pattern, text: str, lo: int, hi: int, least: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits): the best match of the stretch, then those of what is left before and after it."""
+    found, rest = [], [(lo, hi)]
+    while rest:
+        lo, hi = rest.pop()
+        if hi - lo >= least and (m := pattern.search(text, lo, hi)):
+            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            rest += [(lo, m.start()), (m.end(), hi)]
+    return sorted(found)
+
+
 def _places(text: str, phrase: str) -> list[int]:
     """Word indexes at which a phrase's words stand; text has a space at either end."""
     found, at, index, last = [], text.find(f" {phrase} "), 0, 0
