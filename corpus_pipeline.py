@@ -49,7 +49,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: The quality classifier and the mix of its result can't be expressed in SQL; tests hold run() against a brute-force version.
+#: The quality classifier and the mix of its result can't be expressed in SQL. No test holds run() against a brute-force version yet.
 ORACLE_SQL = None
 
 
