@@ -7,6 +7,8 @@ distributed form for graphs that fit no task: rounds of synchronous local moving
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -208,27 +210,32 @@ def communities(edges: DataFrame, gamma: float = GAMMA, rounds: int = 12) -> Dat
     """node_id, level, community_id by synchronous local moving: joins and aggregates only, for graphs of any size.
 
     In round r only vertices of one of two halves (by a hash with r) move, so that neighbours don't swap for ever. Each moves
-    to the neighbouring community of the greatest gain, ties to the lower id.
+    to the neighbouring community of the greatest gain, ties to the lower id. The end is where no vertex of either half
+    would move; if `rounds` rounds don't reach it, a RuntimeWarning says how many still would.
     """
     e = written(edges.select("u", "v", "weight").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")), "comm-edges")
     degree = written(e.groupBy("u").agg(F.sum("weight").alias("k")), "comm-degree")
     m2 = degree.agg(F.sum("k")).first()[0] or 1.0
     state = written(degree.select(F.col("u").alias("node_id"), F.col("u").alias("c"), "k"), "comm")
+    left = 0
     for r in range(rounds):
         weight = state.groupBy("c").agg(F.sum("k").alias("cw"))
         links = e.join(state.select(F.col("node_id").alias("v"), F.col("c").alias("to")), "v").groupBy("u", "to").agg(F.sum("weight").alias("w"))
         own = state.select(F.col("node_id").alias("u"), F.col("c").alias("own"), "k")
-        turn = own.filter(F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2)) == 0)
-        options = links.join(turn, "u").join(weight.withColumnRenamed("c", "to").withColumnRenamed("cw", "tw"), "to")
+        options = links.join(own, "u").join(weight.withColumnRenamed("c", "to").withColumnRenamed("cw", "tw"), "to")
         gain = F.col("w") - gamma * F.col("k") * (F.col("tw") - F.when(F.col("to") == F.col("own"), F.col("k")).otherwise(0.0)) / m2
         best = options.groupBy("u").agg(F.max(F.struct(gain.alias("gain"), (-F.col("to")).alias("neg"))).alias("b"), F.max(F.when(F.col("to") == F.col("own"), gain)).alias("stay"), F.first("k").alias("k"), F.first("own").alias("own"))
         alone = best.join(weight.withColumnRenamed("c", "own"), "own")
         stay = F.coalesce("stay", -gamma * F.col("k") * (F.col("cw") - F.col("k")) / m2)
         moves = alone.filter((F.col("b.gain") > stay + 1e-12) & (-F.col("b.neg") != F.col("own"))).select(F.col("u").alias("node_id"), (-F.col("b.neg")).alias("new"))
         moves = written(moves, "comm-moves")
-        if r and moves.isEmpty():
+        left = moves.count()
+        if not left:
             break
+        moves = moves.filter(F.pmod(F.xxhash64("node_id", F.lit(r)), F.lit(2)) == 0)
         state = written(state.join(moves, "node_id", "left").select("node_id", F.coalesce("new", "c").alias("c"), "k"), "comm")
+    else:
+        warnings.warn(f"communities: {left} vertices would still move before round {rounds}, the last one", RuntimeWarning, stacklevel=2)
     name = state.groupBy("c").agg(F.min("node_id").alias("community_id"))
     return state.join(name, "c").select("node_id", F.lit(0).alias("level"), "community_id")
 

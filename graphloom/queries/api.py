@@ -266,7 +266,7 @@ def leiden_incremental(spark, sf_dir):
 
 @api()
 def communities_distributed(spark, sf_dir):
-    return community.communities(supplies(spark, sf_dir), rounds=4)
+    return community.communities(supplies(spark, sf_dir))
 
 
 @api("SELECT c AS community_id, count(*) FILTER (WHERE hit) / count(*) AS score FROM (SELECT s_suppkey % 5 AS c, s_suppkey IN (1, 2, 6, 8) AS hit FROM supplier UNION ALL SELECT p_size % 5, false FROM part) GROUP BY 1 HAVING count(*) FILTER (WHERE hit) > 0")
