@@ -25,25 +25,27 @@ def components(edges: DataFrame) -> DataFrame:
         hook = save(edge.df.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("root")), "cc-hooks")
         while True:
             onward = hook.df.select(F.col("v").alias("root"), F.col("root").alias("next"))
-            jumped = hook.df.join(onward, "root", "left")
-            if jumped.filter(F.col("next").isNotNull()).isEmpty():
-                break
-            longer = save(jumped.select("v", F.coalesce("next", "root").alias("root")), "cc-hooks")
+            longer = save(hook.df.join(onward, "root", "left").select("v", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "cc-hooks")
             hook.drop()
             hook = longer
+            if hook.df.filter("moved").isEmpty():
+                break
         to = lambda c: hook.df.select(F.col("v").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731,B023
         contracted = edge.df.join(to("a"), "a", "left").join(to("b"), "b").select(F.coalesce("a_root", "a").alias("x"), F.col("b_root").alias("y"))
         rest = save(contracted.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
         edge.drop()
         edge = rest
-        if total is None:
-            total = hook.df
-        else:
-            onward = hook.df.select(F.col("v").alias("root"), F.col("root").alias("next"))
-            total = save(total.join(onward, "root", "left").select("v", F.coalesce("next", "root").alias("root")).unionByName(hook.df), "cc-total").df
+        own = hook.df.select("v", "root")
+        total = own if total is None else composed(total, own)
     return total if total is not None else edge.df.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
+def composed(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(v, root) of first, then of second, whose vertices are roots of first."""
+    onward = second.select(F.col("v").alias("root"), F.col("root").alias("next"))
+    return save(first.join(onward, "root", "left").select("v", F.coalesce("next", "root").alias("root")).unionByName(second), "cc-total").df
+
+
 #: Rounds of stars, each from other leaders. The search that follows is exact after any number of them.
 ROUNDS = 5
 

@@ -5,31 +5,47 @@ signature has SYMBOLS b-bit symbols, the low bits of that many min-hashes; the d
 number of symbols that differ. The signature is split into CHUNKS chunks. If two signatures differ in at most
 2 * CHUNKS - 1 symbols, some chunk has at most one error (pigeonhole), so each chunk is indexed under every
 way to leave one symbol out. All pairs within that distance share a key, and a pair with Jaccard similarity
-0.8 shares none with a probability of about 1e-7. Candidates up to distance LOOSE are held against
-one-permutation sketches of BINS bytes, and what these leave possible (all but five standard deviations) is confirmed
-on the full sets of words.
+0.8 shares none with a probability of about 1e-7: that is all that can be lost. Pairs that share a key are candidates, and are
+confirmed on their full sets, as 64-bit hashes of the shingles.
 
-Documents with one set are collapsed to a class first, so copies make no pairs; linking.linked avoids the pairs in
-groups of near copies, and its last search emits a pair once, at the first key that it shares. Rows with a null id get the component of their class if other rows of it have an id,
-else null (and are kept). Null and empty texts have an empty set and stand alone. Repeated rows each get a row.
+The pairs of a group are never emitted:
+
+* Documents with one set are a class (a 128-bit hash of the set), and only one row of each is indexed.
+* A task looks up its own keys in blocks of BLOCK classes and sends each key once, for the block's first class that has it; so
+  a frequent key is one row a block.
+* Stars: the first class of a key is held against the others of its block or, for blocks, of the key. The links make components.
+* Keys whose classes are then in several components are searched for the rest: those outside of a key's main component
+  are put into blocks of neighbours, and a block is held against every class that shares a key with one of it. What is
+  joined are rows (block, class), never pairs; the sets of a block stay in a task while the others stream by.
+
+So a pair that shares a key is either in one component already or compared.
+
+The component's id is the smallest doc_id in it. Rows with a null id get it too, if other rows of their component have an id,
+else null (and are kept). Null and empty texts have an empty set and stand alone. Repeated rows each get a row. doc_id can have any type that
+has an order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import Saved, save
-from .linking import linked
+from .linking import components, composed
 
-SYMBOLS, CHUNKS, LOOSE = 60, 12, 26
-BINS = 256
-PER_CHUNK, LONGS = SYMBOLS // CHUNKS, 2 * CHUNKS  # a chunk is one long and the low 16 bits of another
+SYMBOLS, CHUNKS = 60, 12
+PER_CHUNK = SYMBOLS // CHUNKS
+#: Classes whose keys are looked up at once; keys of a partition; classes of a block in the last search, and others in a cell.
+BLOCK, PART_KEYS, NEIGHBOURS, CELL = 16384, 1 << 20, 256, 1 << 16
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SALTS = np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -54,165 +70,255 @@ def shingles(text: str | None, width: int) -> set:
 
 
 def signature(h: np.ndarray) -> np.ndarray:
-    """SYMBOLS symbols of 16 bits, each chunk padded to two longs."""
+    """SYMBOLS symbols of 16 bits."""
     least = np.full(SYMBOLS, ~np.uint64(0))
     for at in range(0, len(h), 2048):
         np.minimum(least, (h[at : at + 2048, None] * MULTIPLIERS).min(axis=0), out=least)
     least ^= least >> np.uint64(32)
-    padded = np.zeros((CHUNKS, 8), np.uint16)
-    padded[:, :PER_CHUNK] = ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16).reshape(CHUNKS, PER_CHUNK)
-    return padded.ravel()
+    return ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16)
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """One-permutation sketch of sorted hashes: for each of BINS ranges of values a byte of the least one, 0 if there is none."""
-    out = np.zeros(BINS, np.uint8)
-    bins, first = np.unique(h >> np.uint64(56), return_index=True)
-    out[bins.astype(np.int64)] = (h[first] ^ (h[first] >> np.uint64(23))) % np.uint64(255) + np.uint64(1)
-    return out
-
-
-SIGNED = "doc_id {id}, n_shingles long, h1 long, h2 long, f array<long>, g array<long>"
+def index_keys(symbols: np.ndarray) -> np.ndarray:
+    """One row of SYMBOLS keys a signature: each chunk with each of its symbols left out."""
+    chunks = symbols.reshape(-1, CHUNKS, PER_CHUNK).astype(np.uint64)
+    keys = np.empty((len(chunks), SYMBOLS), dtype=np.uint64)
+    for out in range(PER_CHUNK):
+        left = [i for i in range(PER_CHUNK) if i != out]
+        keys[:, out::PER_CHUNK] = sum(chunks[:, :, i] << np.uint64(16 * k) for k, i in enumerate(left))
+    keys = (keys ^ SALTS) * np.uint64(0xE7037ED1A0B428DB)
+    return keys ^ (keys >> np.uint64(32))
 
 
 def signed(docs: DataFrame, width: int) -> Saved:
-    """doc_id, n_shingles, a 128-bit hash of the set, and the signature packed into longs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """The rows' columns as c0, c1, ..., and row (a number), n_shingles, a 128-bit hash of the set, and the signature."""
+    text = f"c{docs.columns.index('text')}"
+    numbered = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), F.monotonically_increasing_id().alias("row"))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, ids, sigs, sketches = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    h = shingle_hashes(text, width)
+                n, ids, sigs = [], [], []
+                for t in part.column(text):
+                    h = shingle_hashes(t.as_py(), width)
                     n.append(len(h))
                     ids.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64))
-                    sigs.append(signature(h).view(np.int64))
-                    sketches.append(sketch(h).view(np.int64))
+                    sigs.append(signature(h).tobytes())
                 ids = np.array(ids).reshape(-1, 2)
-                lists = lambda parts, size: pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * size), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))  # noqa: E731,B023
-                columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), lists(sigs, LONGS), lists(sketches, BINS // 8)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "f", "g"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array(sigs, pa.binary())], names=[*part.schema.names, "n_shingles", "h1", "h2", "f"])
+
+    schema = StructType([*numbered.schema.fields, *(StructField(c, LongType()) for c in ("n_shingles", "h1", "h2")), StructField("f", BinaryType())])
+    return save(numbered.mapInArrow(run, schema), "signatures")
+
+
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys, and the end."""
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])), [len(sorted_keys)]]) if len(sorted_keys) else np.zeros(1, np.int64)
+
+
+def _key_rows(key: np.ndarray, lead: np.ndarray, id: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lead), pa.array(id), pa.array(n.astype(np.int32))], names=["key", "lead", "id", "n"])
+
+
+KEYS = "key long, lead long, id long, n int"
 
-    return save(docs.select("doc_id", "text").mapInArrow(run, SIGNED.format(id=kind)), "signatures")
 
+def shared_keys(reps: DataFrame, n_reps: int) -> DataFrame:
+    """key, lead, id for the classes that share a key. lead is the first class of the key in the block or, for a block's own lead, of the key."""
 
-def index_keys(reps: DataFrame) -> DataFrame:
-    """(key, id, slot): each chunk with each of its symbols left out; slot is chunk * PER_CHUNK + that symbol."""
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """n > 0: a key of a block, with its number of classes; n = 0: another class than its lead."""
+        ids, sigs = [], []
 
-    def run(batches):
-        salt = np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
+        def block() -> Iterator[pa.RecordBatch]:
+            own = np.concatenate(ids)
+            keys = index_keys(np.frombuffer(b"".join(sigs), np.uint16)).ravel()
+            ids.clear(), sigs.clear()
+            by = np.argsort(keys, kind="stable")
+            keys, who = keys[by], own[by // SYMBOLS]
+            cuts = _runs(keys)
+            size = np.diff(cuts)
+            lead = np.minimum.reduceat(who, cuts[:-1])
+            for at in range(0, len(size), 100_000):
+                part = slice(at, at + 100_000)
+                yield _key_rows(keys[cuts[:-1][part]], lead[part], lead[part], size[part])
+            many = np.repeat(size > 1, size)
+            keys, who, lead = keys[many], who[many], np.repeat(lead, size)[many]
+            rest = who != lead
+            yield _key_rows(keys[rest], lead[rest], who[rest], np.zeros(int(rest.sum())))
+
+        for batch in batches:
+            ids.append(batch.column("id").to_numpy())
+            sigs += batch.column("f").to_pylist()
+            if len(sigs) >= BLOCK:
+                yield from block()
+        if sigs:
+            yield from block()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[], [], []]
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                symbols = part.column("f").flatten().to_numpy().view(np.uint16).reshape(-1, CHUNKS, 8)[:, :, :PER_CHUNK].astype(np.uint64)
-                keys = np.empty((len(symbols), SYMBOLS), dtype=np.uint64)
-                for out in range(PER_CHUNK):
-                    left = [i for i in range(PER_CHUNK) if i != out]
-                    packed = sum(symbols[:, :, i] << np.uint64(16 * k) for k, i in enumerate(left))
-                    keys[:, out::PER_CHUNK] = packed
-                keys = (keys ^ salt) * np.uint64(0xE7037ED1A0B428DB)
-                keys ^= keys >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column("id").to_numpy(), SYMBOLS)), pa.array(np.tile(np.arange(SYMBOLS, dtype=np.int32), len(symbols)))], names=["key", "id", "slot"])
-
-    return reps.select("id", "f").mapInArrow(run, "key long, id long, slot int")
-
-
-def _errors(a, b, chunk: int):
-    """Symbols of a chunk that differ: 16-bit lanes are folded onto one bit and counted."""
-    x = a[2 * chunk].bitwiseXOR(b[2 * chunk])
-    for shift in (8, 4, 2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-    return F.bit_count(x.bitwiseAND(0x0001000100010001)) + (a[2 * chunk + 1] != b[2 * chunk + 1]).cast("int")
-
-
-def near(a, b):
-    """Distance of two signatures at most LOOSE."""
-    return distance(a, b) <= LOOSE
-
-
-def distance(a, b):
-    """Symbols that differ."""
-    total = _errors(a, b, 0)
-    for chunk in range(1, CHUNKS):
-        total = total + _errors(a, b, chunk)
-    return total
-
-
-def once(a, b, slot):
-    """Of the keys that two signatures share, this is the first: no earlier chunk has at most one error, and a
-    chunk without errors counts under its first key."""
-    first = F.when(_errors(a, b, 0) <= 1, F.lit(0))
-    for chunk in range(1, CHUNKS):
-        first = first.when(_errors(a, b, chunk) <= 1, F.lit(chunk))
-    chunk = F.floor(slot / PER_CHUNK).cast("int")
-    exact = (F.element_at(a, 2 * chunk + 1) == F.element_at(b, 2 * chunk + 1)) & (F.element_at(a, 2 * chunk + 2) == F.element_at(b, 2 * chunk + 2))
-    return (first == chunk) & (~exact | (slot % PER_CHUNK == 0))
-
-
-def hopeful(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches leave it possible that they reach the similarity: five standard deviations below it."""
-    side = lambda c: sketches.select(F.col("id").alias(c), F.col("g").alias(f"g_{c}"))
-    low, differ, empty = F.lit(0x0101010101010101), F.lit(0), F.lit(0)
-    for i in range(BINS // 8):
-        for both in (True, False):
-            x = F.col("g_a")[i].bitwiseXOR(F.col("g_b")[i]) if both else F.col("g_a")[i].bitwiseOR(F.col("g_b")[i])
-            for shift in (4, 2, 1):  # a byte is folded onto its lowest bit
-                x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit({4: 0x0F0F0F0F0F0F0F0F, 2: 0x3F3F3F3F3F3F3F3F, 1: 0x7F7F7F7F7F7F7F7F}[shift])))
-            n = F.bit_count(x.bitwiseAND(low))
-            if both:
-                differ = differ + n
+            key, lead, id, n = (batch.column(c).to_numpy() for c in ("key", "lead", "id", "n"))
+            if (inner := n == 0).any():
+                yield _key_rows(key[inner], lead[inner], id[inner], n[inner])
+            for column, x in zip(parts, (key, lead, n)):
+                column.append(x[~inner])
+        key, lead, n = map(np.concatenate, parts) if parts[0] else [np.zeros(0, np.int64)] * 3
+        if len(key):
+            by = np.argsort(key)
+            key, lead, n = key[by], lead[by], n[by]
+            cuts = _runs(key)
+            size = np.diff(cuts)
+            first = np.repeat(np.minimum.reduceat(lead, cuts[:-1]), size)
+            keep = np.repeat((size > 1) | (n[cuts[:-1]] > 1), size)
+            yield _key_rows(key[keep], first[keep], lead[keep], n[keep])
+
+    parts = max(reps.sparkSession.sparkContext.defaultParallelism, n_reps * SYMBOLS // PART_KEYS)
+    rows = reps.select("id", "f").mapInArrow(look_up, KEYS)
+    return rows.repartition(parts, F.when(F.col("n") > 0, F.col("key")).otherwise(F.col("lead"))).mapInArrow(meet, KEYS).select("key", "lead", "id")
+
+
+def candidate_sets(table: DataFrame, text: str, ids: DataFrame, width: int) -> DataFrame:
+    """(id, s): sorted hashes of the shingles of the rows with these numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingle_hashes(t.as_py(), width).tobytes() for t in part.column(text)], pa.binary())], names=["id", "s"])
+
+    return table.select(F.col("row").alias("id"), text).join(ids, "id", "left_semi").mapInArrow(run, "id long, s binary")
+
+
+def _compare(percent: int):
+    """Rows of a cell, those that ask (asks = 0) before the others -> links. The former are held, the others stream by."""
+
+    def links(asking: list, others: list) -> Iterator[tuple[int, int, int, int]]:
+        sets = [np.frombuffer(r[4], np.uint64) for r in others]
+        flat = np.concatenate(sets)
+        lengths = np.array([len(x) for x in sets])
+        starts = np.cumsum(lengths) - lengths
+        ids, roots = np.array([r[2] for r in others]), np.array([r[3] for r in others])
+        if len(asking) > 4:
+            vocabulary, flat = np.unique(flat, return_inverse=True)
+            mark = np.zeros(len(vocabulary) + 1, np.int32)
+        for _, _, a, root, s in asking:
+            s = np.frombuffer(s, np.uint64)
+            if len(asking) > 4:
+                at = np.searchsorted(vocabulary, s)
+                at = at[vocabulary[np.minimum(at, len(vocabulary) - 1)] == s]
+                mark[at] = 1
+                common = np.add.reduceat(mark[flat], starts)
+                mark[at] = 0
             else:
-                empty = empty + (8 - n)
-    share = 1 - percent / 100
-    most = share + 5 * (share * (1 - share) / BINS) ** 0.5
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(differ <= most * (BINS - empty) + 2).select("a", "b")
+                at = np.minimum(np.searchsorted(s, flat), len(s) - 1)
+                common = np.add.reduceat((s[at] == flat).astype(np.int32), starts)
+            hit = np.flatnonzero((100 * common >= percent * (lengths + len(s) - common)) & (roots != root))
+            hit = hit[np.unique(roots[hit], return_index=True)[1]]  # one link to a component is enough
+            for b, other in zip(ids[hit].tolist(), roots[hit].tolist()):
+                yield a, b, root, other
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, asking, others, held = None, [], [], 0
+        for batch in batches:
+            found: list = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "asks", "id", "root", "s"))):
+                if row[0] != cell or held > 1 << 23:
+                    if others:
+                        found += links(asking, others)
+                    others, held = [], 0
+                    if row[0] != cell:
+                        cell, asking = row[0], []
+                if row[1] == 0:
+                    asking.append(row)
+                else:
+                    others.append(row)
+                    held += len(row[4])
+            yield _links(found)
+        if others:
+            yield _links(list(links(asking, others)))
 
+    def _links(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 4, names=["a", "b", "root_a", "root_b"])
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()  # pairs are a written table, read twice
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(ids, "_id", "left_semi")
-    side = lambda c: texts.select(F.col("_id").alias(c), F.col("text").alias(f"t_{c}"))
+    return run
 
-    def run(batches):
-        last: tuple = (None, set())
-        for batch in batches:
-            keep = []
-            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("t_a"), batch.column("t_b")):
-                if a != last[0]:
-                    last = (a, shingles(ta.as_py(), width))
-                x, y = last[1], shingles(tb.as_py(), width)
-                both = len(x & y)
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+LINKS = "a long, b long, root_a long, root_b long"
+
+
+def compared(asking: DataFrame, others: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between those that ask (block, id, root) and the others (block, id, root) of their block; roots of a link differ.
+
+    A block is cut into cells by the others, so that its size is no matter.
+    """
+    cells = max(1, others.count() // CELL)
+    cell = F.pmod(F.xxhash64("id"), F.lit(cells)).alias("salt")
+    others = others.select("block", cell, "id", "root", F.lit(1).alias("asks"))
+    asking = others.select("block", "salt").distinct().join(asking, "block").select("block", "salt", "id", "root", F.lit(0).alias("asks"))
+    rows = asking.unionByName(others).join(sets, "id").select(F.xxhash64("block", "salt").alias("cell"), "asks", "id", "root", "s")
+    return rows.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(_compare(percent), LINKS)
+
+
+def links_left(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between components whose classes share a key."""
+    labelled = shared.join(roots.withColumnRenamed("v", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("main"), F.min("id").alias("near")).filter("lo < hi")
+    several = save(labelled.join(split.select("key", "main", "near"), "key"), "dup-several").df
+    if several.isEmpty():
+        return None
+    outside = several.filter("root <> main")
+    asking = outside.groupBy("id", "root").agg(F.min("near").alias("near"))
+    many = asking.groupBy("near").agg(F.ceil(F.count("*") / NEIGHBOURS).alias("blocks"))
+    asking = save(asking.join(many, "near").select(F.xxhash64("near", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"), "id", "root"), "dup-asking").df
+    blocks = outside.select("key", "id").join(asking.select("id", "block"), "id").select("key", "block").distinct()
+    others = save(several.select("key", "id", "root").join(blocks, "key").select("block", "id", "root").distinct(), "dup-others").df
+    return compared(asking, others, sets, percent)
+
+
+def linked_classes(reps: DataFrame, table: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """(v, root) of the classes (reps: id, f) that have links."""
+    shared = save(shared_keys(reps, reps.count()), "dup-keys")
+    sets = save(candidate_sets(table, text, shared.df.select("id").distinct(), width), "dup-sets")
+    star = save(shared.df.filter("lead <> id").select(F.col("lead").alias("block"), "id", F.col("id").alias("root")).distinct(), "dup-star")
+    leads = star.df.select("block").distinct().select("block", F.col("block").alias("id"), F.col("block").alias("root"))
+    roots = components(compared(leads, star.df, sets.df, percent))
+    star.drop()
+    rest = links_left(shared.df, roots, sets.df, percent)
+    if rest is not None:
+        roots = composed(roots, components(rest.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+    shared.drop()
+    sets.drop()
+    return roots
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """signed() rows, and for each class (h1, h2) its component's first row as best: (doc_id is null, doc_id, row)."""
+    table = signed(docs, width).df
+    id = f"c{docs.columns.index('doc_id')}"
+    best = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("doc_id"), "row")
+    classes = table.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min(best).alias("best"), F.first("f").alias("f"))
+    reps = save(classes.select(F.col("best.row").alias("id"), "h1", "h2", "best", "f"), "dup-reps").df
+    roots = linked_classes(reps, table, f"c{docs.columns.index('text')}", width, percent)
+    member = save(roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()), "dup-members").df
+    first = member.join(reps.select(F.col("id").alias("v"), "best"), "v").groupBy("root").agg(F.min("best").alias("first"))
+    member = member.join(first, "root").select(F.col("v").alias("id"), "first")
+    found = reps.select("id", "h1", "h2", "best").join(member, "id", "left").select("h1", "h2", F.coalesce("first", "best").alias("best"))
+    return table, save(found, "dup-classes").df
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept, for every row."""
-    sets = signed(docs, width).df
-    classes = sets.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.col("doc_id").cast("long")).alias("rep"))
-    signatures = sets.filter("n_shingles > 0").select(F.col("doc_id").cast("long").alias("id"), "h1", "h2", "f", "g")
-    owned = classes.filter("rep IS NOT NULL")
-    reps = save(signatures.join(owned, (signatures.id == owned.rep) & (signatures.h1 == owned.h1) & (signatures.h2 == owned.h2)).select("id", "f", "g").dropDuplicates(["id"]), "reps")
-    keys = save(index_keys(reps.df), "chunk-keys")
-    roots = linked(keys.df, lambda ids: reps.df.select("id", "f").join(ids, "id", "left_semi"), near, lambda pairs: confirm(save(hopeful(pairs, reps.df, percent), "hopeful").df, docs, width, percent), once)
-    keys.drop()
-    found = save(classes.join(roots, classes.rep == roots.v, "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id")), "classes").df
-    joined = sets.select("doc_id", "n_shingles", "h1", "h2").join(found, ["h1", "h2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id").cast("long"))
+    table, classes = _grouped(docs.select("doc_id", "text"), width, percent)
+    joined = table.select(F.col("c0").alias("doc_id"), "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
 
 
 def kept(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with their columns, of which each group of near duplicates leaves the one with the smallest doc_id.
-
-    Rows that repeat that doc_id are repeated rows; one of them stays.
-    """
-    gone = near_duplicates(docs, width, percent)
-    stays = gone.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.filter("doc_id IS NULL").unionByName(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return once.join(stays, once.doc_id.eqNullSafe(stays["_kept"]), "left_semi")
+    """The documents, with their columns, of which each group of near duplicates leaves one row: that with the smallest doc_id
+    (null ids last); among repeated ids, the first row as the table is read. Documents without words all stay."""
+    table, classes = _grouped(docs, width, percent)
+    joined = table.select("row", "n_shingles", "h1", "h2").filter("n_shingles > 0").join(classes, ["h1", "h2"])
+    gone = save(joined.filter(F.col("best.row") != F.col("row")).select("row"), "dup-gone").df
+    return table.join(gone, "row", "left_anti").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
