@@ -42,7 +42,7 @@ from .linking import components, composed
 SYMBOLS, CHUNKS = 60, 12
 PER_CHUNK = SYMBOLS // CHUNKS
 #: Classes whose keys are looked up at once; keys of a partition; classes of a block in the last search, and others in a cell.
-BLOCK, PART_KEYS, NEIGHBOURS, CELL = 16384, 1 << 20, 256, 1 << 16
+BLOCK, PART_KEYS, NEIGHBOURS, CELL = 16384, 1 << 20, 256, 512
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALTS = np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
@@ -250,12 +250,11 @@ LINKS = "a long, b long, root_a long, root_b long"
 def compared(asking: DataFrame, others: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between those that ask (block, id, root) and the others (block, id, root) of their block; roots of a link differ.
 
-    A block is cut into cells by the others, so that its size is no matter.
+    A block is cut into cells of about CELL others, so that a large one is many tasks' work.
     """
-    cells = max(1, others.count() // CELL)
-    cell = F.pmod(F.xxhash64("id"), F.lit(cells)).alias("salt")
-    others = others.select("block", cell, "id", "root", F.lit(1).alias("asks"))
-    asking = others.select("block", "salt").distinct().join(asking, "block").select("block", "salt", "id", "root", F.lit(0).alias("asks"))
+    cells = others.groupBy("block").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+    others = others.join(cells, "block").select("block", F.pmod(F.xxhash64("id"), F.col("cells")).alias("salt"), "id", "root", F.lit(1).alias("asks"))
+    asking = asking.join(cells, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("salt"), "id", "root", F.lit(0).alias("asks"))
     rows = asking.unionByName(others).join(sets, "id").select(F.xxhash64("block", "salt").alias("cell"), "asks", "id", "root", "s")
     return rows.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(_compare(percent), LINKS)
 

@@ -10,7 +10,9 @@ scaled from the sample to its share of all labelled rows.
 
 Labels of the held-out fold are never read; doc_id, lang and source are no inputs. Texts without terms, and all
 texts if no labels can be learned, get the share of label 1 (0.5 without labels). Rows with a null label are
-not learned from; conflicting labels count as rows each. Repeated rows each get their score.
+not learned from; conflicting labels count as rows each. Repeated rows each get their score. If texts share a
+doc_id, one of them (that of the least vector) is learned from. Neighbours that tie with the last one vote as well; cosines
+are rounded to five places, so that a text's score doesn't hang on the batch it comes in.
 """
 
 from __future__ import annotations
@@ -97,12 +99,13 @@ class Model:
     def score(self, texts: list) -> np.ndarray:
         if self.axes is None:
             return np.full(len(texts), self.prior)
-        cosines = self._unit(weighted(texts, self.idf) @ self.axes) @ self.vectors.T
+        cosines = np.round(self._unit(weighted(texts, self.idf) @ self.axes) @ self.vectors.T, 5)
         k = min(NEIGHBOURS, cosines.shape[1])
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        votes = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** POWER * self.votes[near]
-        total = votes.sum(axis=1)
-        return np.where(total > 0, (votes * (self.y[near] == 1)).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
+        last = np.partition(cosines, -k, axis=1)[:, -k]
+        row, near = np.nonzero((cosines >= last[:, None]) & (cosines > 0))  # those that tie with the last one vote too
+        votes = cosines[row, near].astype(np.float64) ** POWER * self.votes[near]
+        total, good = (np.bincount(row, x, len(texts)) for x in (votes, votes * (self.y[near] == 1)))
+        return np.where(total > 0, good / np.where(total > 0, total, 1), self.prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -120,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("_l").cast(pa.string()), batch.column("_y").cast(pa.int32()), pa.array(x, pa.binary())], names=["id", "y", "x"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_l")).mapInArrow(run, "id string, y int, x binary")
-    # rows that repeat a doc_id repeat its label: one of each is taken, which keeps the sample within its bound
-    got = sorted(rows.dropDuplicates(["id", "y"]).collect(), key=lambda r: (r.y, r.id))
+    # rows that repeat a doc_id repeat its label: the least vector of each is taken, which keeps the sample within its bound
+    got = sorted(rows.groupBy("id", "y").agg(F.min("x").alias("x")).collect(), key=lambda r: (r.y, r.id))
     got = [r for r in got if np.frombuffer(r.x, np.float16).any()]
     x = np.array([np.frombuffer(r.x, np.float16) for r in got], dtype=np.float32).reshape(-1, DIMS)
     y = np.array([r.y for r in got], dtype=np.int32)
