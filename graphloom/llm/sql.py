@@ -17,7 +17,7 @@ FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 OP9 = r"""
-WITH d AS (SELECT doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(cast(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(cast(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS h FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST)) % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS weight FROM s0),
 s2 AS (SELECT *, 2 * source_size / weight::DOUBLE AS fill FROM s1),
@@ -29,7 +29,7 @@ s5 AS (SELECT *, max(own) OVER () AS level FROM s4),
 s6 AS (SELECT *, CASE WHEN fill <= level THEN (2 * source_size)::DOUBLE ELSE weight * level END AS target FROM s5),
 s7 AS (SELECT *, sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high FROM s6),
 s8 AS (SELECT *, coalesce(lag(high) OVER (ORDER BY source NULLS LAST), 0) AS low FROM s7),
-p AS (SELECT ((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE)) * (SELECT max(high) FROM s8) AS x
+p AS (SELECT ((i::HUGEINT * 11400714819323198485 + 5700357409661599242) % 18446744073709551616)::DOUBLE / 18446744073709551616::DOUBLE * (SELECT max(high) FROM s8) AS x
       FROM (SELECT unnest(range(cast(ceil((SELECT max(high) FROM s8) / 64) AS BIGINT))) AS i)),
 n AS (SELECT source, count(x) AS slots FROM s8 LEFT JOIN p ON x >= low AND x < high GROUP BY source),
 s9 AS (SELECT s8.*, least(n.slots * 64, 2 * source_size) AS reach FROM s8 JOIN n ON s8.source IS NOT DISTINCT FROM n.source),

@@ -86,3 +86,16 @@ def test_empty_and_native(docs):
     assert mixing.taken(docs.limit(0)).count() == 0
     assert mixing.taken(docs.filter("text IS NULL")).filter("taken = 0 AND target = 0").count() == docs.filter("text IS NULL").count()
     assert "Python" not in mixing.taken(docs)._jdf.queryExecution().toString()
+
+
+def test_plan_holds_the_schedule_and_its_join(docs):
+    plan = mixing.taken(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, ((number" in plan and "row_number" in plan and "Range (0" in plan
+
+
+def test_points_are_exact_far_out(spark):
+    """A slot beyond 2 ** 40 has the point that integer arithmetic gives."""
+    plan = spark.createDataFrame([(1, 0.0, 1.0)], "number int, low double, high double")
+    assert {r.block for r in mixing.slots(plan, 1).collect()} == {0}
+    assert ((1 << 40) * mixing.GOLDEN + mixing.HALF) % mixing.WHOLE == spark.range(1 << 40, (1 << 40) + 1).selectExpr(
+        f"pmod(cast(id as decimal(18,0)) * cast({mixing.GOLDEN} as decimal(20,0)) + cast({mixing.HALF} as decimal(20,0)), cast({mixing.WHOLE} as decimal(20,0))) AS x").first().x
