@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,6 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
+_scratch: list[list[Saved]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Drops, at its end, the tables that were saved in it and not kept (keep()) since. What reads them must be written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for saved in _scratch.pop():
+            saved.drop()
+
+
 class Saved:
     """A written table; df reads it, drop() removes its files once nothing needs them any more."""
 
@@ -42,6 +57,13 @@ class Saved:
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    def keep(self) -> Saved:
+        """Takes the table out of the scratch that it was made in."""
+        for made in _scratch:
+            if self in made:
+                made.remove(self)
+        return self
+
     def drop(self) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
@@ -53,7 +75,10 @@ def save(df: DataFrame, name: str) -> Saved:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return Saved(spark, path, df.schema)
+    saved = Saved(spark, path, df.schema)
+    if _scratch:
+        _scratch[-1].append(saved)
+    return saved
 
 
 def lower_ascii(text: Column) -> Column:
