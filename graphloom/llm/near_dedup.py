@@ -297,13 +297,16 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     id = f"c{docs.columns.index('doc_id')}"
     best = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("doc_id"), "row")
     classes = table.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min(best).alias("best"), F.first("f").alias("f"))
-    reps = save(classes.select(F.col("best.row").alias("id"), "h1", "h2", "best", "f"), "dup-reps").df
+    made = save(classes.select(F.col("best.row").alias("id"), "h1", "h2", "best", "f"), "dup-reps")
+    reps = made.df
     roots = linked_classes(reps, table, f"c{docs.columns.index('text')}", width, percent)
     member = save(roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()), "dup-members").df
     first = member.join(reps.select(F.col("id").alias("v"), "best"), "v").groupBy("root").agg(F.min("best").alias("first"))
     member = member.join(first, "root").select(F.col("v").alias("id"), "first")
     found = reps.select("id", "h1", "h2", "best").join(member, "id", "left").select("h1", "h2", F.coalesce("first", "best").alias("best"))
-    return table, save(found, "dup-classes").df
+    found = save(found, "dup-classes").df
+    made.drop()
+    return table, found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

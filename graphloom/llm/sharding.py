@@ -81,8 +81,9 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     return assign(docs.select("doc_id", *measures()), shards)
 
 
-def measures() -> list:
-    t = F.col("text")
+def measures(t=None) -> list:
+    """size, text_crc32 and key (its md5; of a null text the empty string) of a text column."""
+    t = F.col("text") if t is None else t
     return [
         (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
