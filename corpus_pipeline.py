@@ -41,8 +41,9 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Where docs has a column of such a name, it stays and the new one gets a trailing underscore.
     """
-    rows = docs.select(F.col("doc_id"), F.struct(*docs.columns).alias("whole"), *sharding.measures())
-    out = sharding.assign(rows, 16)
+    whole = save(docs.select(F.struct(*docs.columns).alias("whole"), F.monotonically_increasing_id().alias("row")), "shard-docs").df
+    rows = whole.select("row", F.col("whole.doc_id").alias("doc_id"), *sharding.measures(F.col("whole.text")))
+    out = whole.join(sharding.assign(rows, 16).select("row", "size", "shard", "slot"), "row")  # texts move once
     new, taken = [], set(docs.columns)
     for c in ("size", "shard", "slot"):
         name = c
