@@ -42,7 +42,7 @@ from .linking import components, composed
 SYMBOLS, CHUNKS = 60, 12
 PER_CHUNK = SYMBOLS // CHUNKS
 #: Classes whose keys are looked up at once; keys of a partition; classes of a block in the last search, and others in a cell.
-BLOCK, PART_KEYS, NEIGHBOURS, CELL = 16384, 1 << 20, 256, 512
+BLOCK, PART_KEYS, NEIGHBOURS, CELL = 16384, 1 << 20, 512, 512
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALTS = np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
@@ -267,7 +267,10 @@ def links_left(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     if several.isEmpty():
         return None
     outside = several.filter("root <> main")
-    asking = outside.groupBy("id", "root").agg(F.min("near").alias("near"))
+    # classes that share keys with the same ones should come into one block, so the least neighbour is handed on once more
+    least = several.groupBy("id").agg(F.min("near").alias("least"))
+    handed = several.select("key", "id").join(least, "id").groupBy("key").agg(F.min("least").alias("least"))
+    asking = outside.join(handed, "key").groupBy("id", "root").agg(F.min("least").alias("near"))
     many = asking.groupBy("near").agg(F.ceil(F.count("*") / NEIGHBOURS).alias("blocks"))
     asking = save(asking.join(many, "near").select(F.xxhash64("near", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"), "id", "root"), "dup-asking").df
     blocks = outside.select("key", "id").join(asking.select("id", "block"), "id").select("key", "block").distinct()
