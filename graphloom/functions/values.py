@@ -282,11 +282,12 @@ def numeric(op: str, a: V, b: V) -> V:
     if op == "/":
         if is_int(a.t) and is_int(b.t):
             return V(F.call_function("div", a.col, b.col), INT)
-        if is_float(a.t) and is_float(b.t):
+        if (is_float(a.t) or is_float(b.t)) and (is_int(a.t) or is_int(b.t) or is_float(a.t) and is_float(b.t)):
+            x, y = a.col.cast("double"), b.col.cast("double")
             if b.lit not in (MISSING, 0, None):
-                return V(a.col / b.col, FLOAT)
-            by_zero = F.when((a.col == 0) | F.isnan(a.col), math.nan).when(a.col > 0, math.inf).otherwise(-math.inf)
-            return V(F.when(b.col == 0, F.when(a.col.isNotNull(), by_zero)).otherwise(a.col / b.col), FLOAT)
+                return V(x / y, FLOAT)
+            by_zero = F.when((x == 0) | F.isnan(x), math.nan).when(x > 0, math.inf).otherwise(-math.inf)
+            return V(F.when(y == 0, F.when(x.isNotNull(), by_zero)).otherwise(x / y), FLOAT)
         return V(a.col / b.col, t)
     x, y = cast(a, t), cast(b, t)
     return V({"+": x + y, "-": x - y, "*": x * y, "%": x % y}[op], t)

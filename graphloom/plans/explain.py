@@ -7,6 +7,12 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 
+def outlined(spark: SparkSession, clauses: list) -> DataFrame:
+    """step, operator, details of a statement that writes or searches: its clauses in order. Nothing is run."""
+    rows = [(i, type(k).__name__, repr(k)[:400]) for i, k in enumerate(clauses)]
+    return spark.createDataFrame(rows, "step int, operator string, details string")
+
+
 def explained(spark: SparkSession, steps: list[tuple[str, str]], df: DataFrame, profile: bool) -> DataFrame:
     """step, operator, details in order of building; at the end Spark's own plan. PROFILE runs the query and adds rows and milliseconds."""
     rows = [(i, a, b, None, None) for i, (a, b) in enumerate(steps)]

@@ -24,7 +24,7 @@ from .usage import Usage
 
 #: Depth to which an unbounded pattern is followed; anything deeper is an error, never cut off.
 UNBOUNDED_DEPTH = 5
-#: k of NEAR and MATCH conditions, which have no place for it.
+#: k of NEAR conditions, which have no place for it.
 DEFAULT_K = 10
 
 
@@ -54,9 +54,9 @@ def null_order(x: Column, descending: bool) -> Column:
 
 
 class Translator:
-    def __init__(self, graph: PropertyGraph, params: Mapping[str, object], usage: Usage, unique_relationships: bool = False, strict: bool = False, undirected_shortest: bool = False) -> None:
+    def __init__(self, graph: PropertyGraph, params: Mapping[str, object], usage: Usage, unique_relationships: bool = False, strict: bool = False, undirected_shortest: bool = False, near_k: int = DEFAULT_K) -> None:
         self.graph, self.params, self.usage = graph, params, usage
-        self.unique, self.strict, self.undirected_shortest = unique_relationships, strict, undirected_shortest
+        self.unique, self.strict, self.undirected_shortest, self.near_k = unique_relationships, strict, undirected_shortest, near_k
         self.counters: dict[str, int] = {}
         self.steps: list[tuple[str, str]] = []
         self.fresh = 0
@@ -195,11 +195,11 @@ class Translator:
             else:
                 frame = self.pattern(frame, p, labels, segments)
         frame = self.unique_filter(frame, k.patterns)
-        for s in searches:
-            frame = self.search(frame, s)
         if where is not None:
             self.note("Filter", repr(where)[:200])
             frame = replace(frame, df=self.rows(frame).filter(X.truth(self.compiler(frame.vars)(where))))
+        for s in sorted(searches, key=lambda s: s.kind == "near"):  # the nearest are ranked among what all else leaves
+            frame = self.search(frame, s)
         return frame
 
     def unique_filter(self, frame: Frame, patterns: tuple) -> Frame:
@@ -675,8 +675,13 @@ class Translator:
         elif s.kind == "vector_within":
             ids = self.within(labels, s).select(c("_id").alias("#id"))
         else:
-            leg = A.RankLeg(s.kind, var, s.args["prop"], s.args["value"], s.args.get("k") or DEFAULT_K)
-            ids = self.leg(labels, leg).select(c("_id").alias("#id"))
+            # a text condition holds for every node with a match; a vector one for the k nearest of the rows so far
+            leg = A.RankLeg(s.kind, var, s.args["prop"], s.args["value"], s.args.get("k") or (self.near_k if s.kind in ("near", "vector") else None))
+            searched = self
+            if leg.k is not None and frame.df is not None:
+                candidates = frame.df.select(c(col(var, "_id")).alias("_id")).distinct()
+                searched = replace_graph(self, PropertyGraph(self.graph.spark, {x: self.graph.nodes[x].join(candidates, "_id", "left_semi") for x in labels}, ()))
+            ids = searched.leg(labels, leg).select(c("_id").alias("#id"))
         return replace(frame, df=frame.df.join(ids, c(col(var, "_id")) == c("#id"), "left_semi"))
 
     def within(self, labels: tuple, s: Search) -> DataFrame:
@@ -881,7 +886,7 @@ class Translator:
             return V(F.count_distinct(x) if e.distinct else F.count(x), INT)
         if e.name == "collect":
             if e.distinct:
-                return V(F.array_sort(F.collect_set(x)), T.ArrayType(v.t))
+                return V(F.array_distinct(self.collected(frame, x) if frame.sorted_by else F.collect_list(x)), T.ArrayType(v.t))
             if frame.sorted_by:
                 return V(self.collected(frame, x), T.ArrayType(v.t))
             return V(F.collect_list(x), T.ArrayType(v.t))
@@ -1047,16 +1052,29 @@ def execute(graph: PropertyGraph, text: str | A.Statement, params: Mapping[str,
     q = statement.query
     if isinstance(q.bodies[0][0], A.CreateIndex | A.DropIndex):
         return write.ddl(graph, q.bodies[0][0])
+    if statement.mode == "explain" and (outline := eager(q)):
+        from .explain import outlined
+
+        return Result(outlined(graph.spark, outline), graph)
     t = Translator(graph, params or {}, Usage().query(q), **options)
     frame = t.query(q)
     df = output(frame)
     if statement.mode != "run":
         from .explain import explained
 
-        return Result(explained(graph.spark, t.steps, df, statement.mode == "profile"), graph)
+        return Result(explained(graph.spark, t.steps, df, statement.mode == "profile"), t.graph, t.counters)
     return Result(df, t.graph, t.counters)
 
 
+def eager(q: A.Query) -> list[A.Clause] | None:
+    """The clauses, if building their plan would run jobs or write: all but plain reads do."""
+    clauses = [k for body in q.bodies for k in body]
+    lazy = lambda k: isinstance(k, A.Projection | A.Unwind) or isinstance(k, A.Match) and all(p.kind == "plain" for p in k.patterns) and not any(
+        isinstance(e, A.Binary) and (e.op in ("near", "match") or isinstance(e.left, A.Call) or isinstance(e.right, A.Call)) or isinstance(e, A.InCommunity) for e in walk(k.where)
+    )
+    return None if all(map(lazy, clauses)) else clauses
+
+
 def run_many(graph: PropertyGraph, text: str, params: Mapping[str, object] | None = None, **options) -> list[Result]:
     found = []
     for s in parse_many(text):

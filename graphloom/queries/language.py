@@ -103,7 +103,8 @@ q("aggregate_nested", "MATCH (o:Order)-[:CONTAINS]->(p:Part) WITH o, count(p) AS
   "SELECT parts, count(*) AS orders, CAST(round(100.0 * count(*) / sum(parts)) AS BIGINT) AS ratio FROM (SELECT l_orderkey, count(*) AS parts FROM lineitem GROUP BY 1) GROUP BY 1")
 q("aggregate_distinct", "MATCH (o:Order) RETURN sum(DISTINCT toInteger(o.totalprice) % 100) AS s, count(DISTINCT o.status) AS c, avg(DISTINCT o.custkey) AS a", "SELECT CAST(sum(DISTINCT CAST(trunc(o_totalprice) AS BIGINT) % 100) AS BIGINT) AS s, count(DISTINCT o_orderstatus) AS c, avg(DISTINCT o_custkey) AS a FROM orders")
 q("collect_sorted", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, n ORDER BY n.name DESC RETURN r.name AS region, collect(n.name) AS nations", "SELECT r_name AS region, list(n_name ORDER BY n_name DESC) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
-q("collect_distinct", "MATCH (o:Order) RETURN o.status AS status, collect(DISTINCT o.priority) AS priorities", "SELECT o_orderstatus AS status, list_sort(list(DISTINCT o_orderpriority)) AS priorities FROM orders GROUP BY 1")
+q("collect_distinct", "MATCH (o:Order) WITH o ORDER BY o.orderkey RETURN o.status AS status, collect(DISTINCT o.priority) AS priorities", "SELECT s AS status, list(p ORDER BY k) AS priorities FROM (SELECT o_orderstatus AS s, o_orderpriority AS p, min(o_orderkey) AS k FROM orders GROUP BY 1, 2) GROUP BY 1")
+q("power_precedence", "MATCH (r:Region) RETURN r.name AS name, 2 * 3 ^ 2 AS a, 4 ^ 3 * 2 AS b, 2 ^ 3 ^ 2 AS c, -3 ^ 2 AS d, 8 / r.regionkey ^ 2 AS e", "SELECT r_name AS name, 2 * power(3, 2) AS a, power(4, 3) * 2 AS b, power(power(2, 3), 2) AS c, power(-3, 2) AS d, CASE WHEN r_regionkey = 0 THEN 'Infinity'::DOUBLE ELSE 8 / power(r_regionkey, 2) END AS e FROM region")
 q("distinct_rows", "MATCH (o:Order) RETURN DISTINCT o.status AS status, o.priority AS priority", "SELECT DISTINCT o_orderstatus AS status, o_orderpriority AS priority FROM orders")
 q("union_distinct", "MATCH (c:Customer) RETURN c.nationkey AS k, 'x' AS t UNION MATCH (s:Supplier) RETURN 'x' AS t, s.nationkey AS k", "SELECT CAST(c_nationkey AS BIGINT) AS k, 'x' AS t FROM customer UNION SELECT s_nationkey, 'x' FROM supplier")
 q("union_all", "MATCH (n:Nation) RETURN n.name AS name UNION ALL MATCH (r:Region) RETURN r.name AS name ORDER BY name LIMIT 12", "SELECT * FROM (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region) ORDER BY name LIMIT 12")
@@ -153,7 +154,7 @@ q("merge_node", "UNWIND ['EUROPE', 'ATLANTIS', 'ATLANTIS'] AS x MERGE (r:Region
 q("merge_relationship", "MATCH (a:Nation {nationkey: 1}), (r:Region) MERGE (a)-[x:IN_REGION]->(r) ON CREATE SET x.made = true RETURN r.name AS name, x.made AS made", "SELECT r_name AS name, CASE WHEN n_nationkey IS NULL THEN true END AS made FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey = 1")
 
 # -- search conditions
-q("match_text_condition", "MATCH (d:Document) WHERE d.text MATCH $words AND d.lang = 'en' RETURN d.doc_id AS id", None, words="license software")
+q("match_text_condition", "MATCH (d:Document) WHERE d.text MATCH $words AND d.lang = 'en' RETURN d.doc_id AS id", "SELECT doc_id AS id FROM documents WHERE lang = 'en' AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])(license|software)([^\\p{L}\\p{N}]|$)')", words="license software")
 q("procedures_labels", "CALL db.labels() YIELD label AS l WHERE l STARTS WITH 'S' OR l STARTS WITH 'N' RETURN l", "SELECT * FROM (VALUES ('Nation'), ('Supplier')) t(l)")
 q("procedures_types", "CALL db.relationshipTypes()", "SELECT * FROM (VALUES ('IN_REGION'), ('IN_NATION'), ('PLACED'), ('CONTAINS'), ('SUPPLIED_BY'), ('SUPPLIES'), ('HANDOFF')) t(\"relationshipType\")")
 q("procedures_keys", "CALL db.propertyKeys() YIELD propertyKey AS k WHERE k STARTS WITH 's' RETURN k", "SELECT * FROM (VALUES ('shipdate'), ('size'), ('source'), ('status'), ('suppkey')) t(k)")

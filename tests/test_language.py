@@ -59,7 +59,7 @@ def test_rejected(people, query):
 
 
 def test_precedence():
-    assert parse("RETURN 2 * 3 ^ 2").query.bodies[0][0].items[0].expr == A.Binary("^", A.Binary("*", A.Lit(2), A.Lit(3)), A.Lit(2))
+    assert parse("RETURN 2 * 3 ^ 2").query.bodies[0][0].items[0].expr == A.Binary("*", A.Lit(2), A.Binary("^", A.Lit(3), A.Lit(2)))
 
 
 def test_unbounded_pattern_never_cuts_off(spark):
@@ -82,3 +82,20 @@ def test_writes_leave_the_old_graph(people):
 
 def test_toon():
     assert toon({"rows": [{"a": 1, "b": "x,y"}, {"a": 2.0, "b": None}]}) == 'rows[2]{a,b}:\n  1,"x,y"\n  2,null'
+
+
+def test_power_values_and_first_seen_order(people):
+    row = people.query("RETURN 2 * 3 ^ 2 AS a, 4 ^ 3 * 2 AS b, 2 ^ 3 ^ 2 AS c, -3 ^ 2 AS d, 8 / 2 ^ 2 AS e").first()
+    assert tuple(row) == (18.0, 128.0, 64.0, 9.0, 2.0)
+    assert people.query("UNWIND [3, 1, 3, 2] AS x WITH x ORDER BY x RETURN collect(DISTINCT x) AS xs").first().xs == [1, 2, 3]
+    assert people.query("UNWIND [3, 1, 3, 2] AS x RETURN collect(DISTINCT x) AS xs").first().xs == [3, 1, 2]
+
+
+def test_explain_runs_nothing_and_profile_keeps_the_write(people):
+    before = people.query("MATCH (a:Person) RETURN count(*) AS n").first().n
+    plan = people.execute("EXPLAIN CREATE (a:Person {name: 'New'})")
+    assert plan.graph is people and [r.operator for r in plan.df.collect()] == ["Create"]
+    done = people.execute("PROFILE CREATE (a:Person {name: 'New'})")
+    assert "rows" in done.df.columns and done.counters
+    assert done.graph.query("MATCH (a:Person) RETURN count(*) AS n").first().n == before + 1
+    assert people.query("MATCH (a:Person) RETURN count(*) AS n").first().n == before
