@@ -2,7 +2,8 @@
 
 Each notice of m characters may occur with up to k edits. It is split into k + 1 pieces; by the pigeonhole
 principle an occurrence with at most k edits holds one piece unchanged. An Aho-Corasick automaton finds
-the pieces, and the regex library's bounded-error matching verifies the stretch around each of them.
+the pieces, and the regex library's bounded-error matching verifies the stretch around each of them. A match
+begins and ends with a word. Of matches of one notice that overlap, the one with fewer edits is reported.
 
 Texts are compared as their words joined by single spaces, so case, punctuation and line breaks don't count.
 Null and empty texts have no words and no matches. Repeated rows each get their own result. Only the map
@@ -64,7 +65,7 @@ def _compiled(notices: tuple):
     for piece, where in seeds.items():
         automaton.add_word(piece, (len(piece), where))
     automaton.make_automaton()
-    return automaton, [regex.compile(rf"(?b)(?:{regex.escape(n)}){{e<={k}}}") for _, n, k in notices]
+    return automaton, [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n)}){{e<={k}}}(?![^ ])") for _, n, k in notices]
 
 
 def fuzzy_matches(text: str, notices: tuple = NOTICES) -> list[tuple[int, int, int, int]]:
@@ -75,7 +76,8 @@ def fuzzy_matches(text: str, notices: tuple = NOTICES) -> list[tuple[int, int, i
         for i, at in where:
             k, m = notices[i][2], len(notices[i][1])
             lo = max(0, end - length + 1 - at - k)
-            hi = min(len(text), lo + m + 3 * k)
+            hi = text.find(" ", min(len(text), lo + m + 3 * k))  # a stretch is whole words
+            lo, hi = text.rfind(" ", 0, lo) + 1, len(text) if hi < 0 else hi
             own = windows.setdefault(i, [])
             if own and lo <= own[-1][1]:
                 own[-1][1] = max(own[-1][1], hi)
@@ -102,7 +104,7 @@ def _best_first(pattern: regex.Pattern, text: str, lo: int, hi: int, least: int)
         lo, hi = rest.pop()
         if hi - lo >= least and (m := pattern.search(text, lo, hi)):
             found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-            rest += [(lo, m.start()), (m.end(), hi)]
+            rest += [(lo, m.start() - 1), (m.end() + 1, hi)]
     return sorted(found)
 
 

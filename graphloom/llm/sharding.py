@@ -6,7 +6,8 @@ below 65,536 bytes, and classes 1/1024 wide above, so there are under 115,000 cl
 Only that histogram reaches the driver. There a heap hands out small classes group by group, and the groups of
 a large class, which are all of one size, by filling the shards up to one level, which is what the heap would do.
 The result is a list of intervals over the groups in order of (class, key); every group finds its shard by its
-position in a distributed sort. A group larger than a shard's fair share makes its shard uneven: it can't be split.
+position in a distributed sort. The heap takes a large class's mean size for each of its groups, so a shard's load is known to
+within 1/1024 of what it holds in such groups; smaller ones are exact. A group larger than a shard's fair share makes its shard uneven: it can't be split.
 
 Empty input gives no rows. Ties are broken by the text's hash, and rows in a shard are numbered by doc_id,
 so reruns agree.
