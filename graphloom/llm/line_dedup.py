@@ -8,10 +8,12 @@ Signature: the hashes of the shingles in two orders, and in each the first hash
 the circle. Each of these 64 values is the same in two lines with the probability of their similarity. Bands of four
 values (two of each order), 16 of them, are the keys that candidates share: were the values independent, a pair at 0.8
 would share one with a probability of 0.9998. The lowest bits of the values are a sketch of 64 bits, which sorts out
-unlike pairs. Equal lines are one id. The others are verified on their exact shingle sets, and linking.linked joins them
-into components without the pairs of a group. One line a component stays: the first by doc_id and position.
+unlike pairs. Equal lines (by a 128-bit hash) are one kind, and only kinds are signed. Candidates are verified on their exact
+shingle sets, which are made once a kind, and linking.linked joins them into components without the pairs of a group. One line a
+component stays: the first by doc_id and position.
 
-Texts are read twice (for the signatures, and for the lines that are candidates) and never shuffled as a whole.
+Texts are read once. Lines are shuffled by their hash, with one row a kind and task; then kinds answer the lines that repeat or are
+linked, so a frequent line is met by a join that adaptive execution can split.
 Null and empty texts have no lines. Rows with a null doc_id come first in order. Repeated rows are rows of
 their own: the lines of the second are removed.
 """
@@ -41,8 +43,8 @@ def lines(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "\n"))
 
 
-def line_id(norm: Column) -> Column:
-    return F.xxhash64(norm, F.lit("line"))
+def line_hash(norm: Column) -> list[Column]:
+    return [F.xxhash64(norm, F.lit("line")).alias("h1"), F.xxhash64(F.lit("other"), norm).alias("h2")]
 
 
 def shingles(norm: Column) -> Column:
@@ -89,12 +91,12 @@ def signatures(d: DataFrame) -> DataFrame:
     return d.select(*rest, bands.alias("bands"), F.shiftleft("b0", POINTS).bitwiseOR(bits(1)).alias("sketch"))
 
 
-def signed(docs: DataFrame) -> Saved:
-    """A row for each line: row (its document's place), doc_id, pos, id, bands, sketch; documents without lines have pos null."""
+def listed(docs: DataFrame) -> Saved:
+    """A row for each line: row (its document's place), doc_id, pos, norm, h1, h2 (null: blank); documents without lines have pos null."""
     d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     d = d.select("row", "doc_id", F.posexplode_outer(lines(F.col("text"))).alias("pos", "line"))
-    d = d.select("row", "doc_id", "pos", normal(F.col("line")).alias("norm"))
-    return save(signatures(d.select("row", "doc_id", "pos", F.when(F.col("norm") != "", line_id(F.col("norm"))).alias("id"), "norm")), "lines")
+    d = d.select("row", "doc_id", "pos", F.nullif(normal(F.col("line")), F.lit("")).alias("norm"))
+    return save(d.select("*", *(F.when(F.col("norm").isNotNull(), h).alias(n) for h, n in zip(line_hash(F.col("norm")), ("h1", "h2")))), "lines")
 
 
 def close(a: Column, b: Column) -> Column:
@@ -108,26 +110,29 @@ def alike(a: Column, b: Column) -> Column:
 
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines, and (row, pos) of those that go."""
-    all_lines = signed(docs).df
-    kinds = save(all_lines.filter("id IS NOT NULL").select("id", "bands", "sketch").dropDuplicates(["id"]), "line-kinds").df
-    keys = kinds.select(F.posexplode("bands").alias("band", "key"), "id").select("key", "id")
-    texts = docs.select(F.explode(lines(F.col("text"))).alias("line")).select(normal(F.col("line")).alias("norm")).withColumn("id", line_id(F.col("norm")))
-    candidates: list[DataFrame] = []
+    all_lines = listed(docs).df
+    at = F.struct("doc_id", "pos", "row")
+    repeated = all_lines.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.first("norm").alias("norm"))
+    kinds = save(repeated.select(F.monotonically_increasing_id().alias("id"), "*"), "line-kinds")
+    signs = save(signatures(kinds.df.select("id", "norm")), "line-signatures")
+    sets: list[DataFrame] = []
 
     def features(ids: DataFrame) -> DataFrame:
-        candidates.append(save(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-texts").df)
-        return kinds.join(ids, "id", "left_semi").select("id", F.col("sketch").alias("f"))
+        sets.append(save(kinds.df.join(ids, "id", "left_semi").select("id", shingle_set(F.col("norm")).alias("f")), "line-sets").df)
+        return signs.df.join(ids, "id", "left_semi").select("id", F.col("sketch").alias("f"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: candidates[0].select(F.col("id").alias(c), F.col("norm").alias(f"norm_{c}"))
-        sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", shingle_set(F.col("norm_a")).alias("f_a"), shingle_set(F.col("norm_b")).alias("f_b"))
-        return sets.filter(alike(F.col("f_a"), F.col("f_b"))).select("a", "b")
-
-    roots = linked(keys, features, close, verify)
-    owned = all_lines.filter("id IS NOT NULL").select("row", "doc_id", "pos", "id")
-    owned = owned.join(roots.withColumnRenamed("v", "id"), "id", "left").select("row", F.struct("doc_id", "pos", "row").alias("at"), F.coalesce("root", "id").alias("root"))
-    groups = owned.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
-    gone = owned.join(groups, "root").filter(~F.col("at").eqNullSafe(F.col("first"))).select("row", F.col("at.pos").alias("pos"))
+        side = lambda c: sets[0].select(F.col("id").alias(c), F.col("f").alias(f"f_{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike(F.col("f_a"), F.col("f_b"))).select("a", "b")
+
+    roots = linked(signs.df.select(F.explode("bands").alias("key"), "id"), features, close, verify)
+    member = save(roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "id"), "line-members").df
+    first = member.join(kinds.df.select("id", "at"), "id").groupBy("root").agg(F.min("at").alias("first"))
+    member = member.join(first, "root").select("id", "first")
+    # written, so that both sides of the next join are plain shuffles, whose large keys can be split
+    cut = kinds.df.select("id", "h1", "h2", "at", "n").join(member, "id", "left").filter("n > 1 OR first IS NOT NULL")
+    cut = save(cut.select("h1", "h2", F.coalesce("first", "at").alias("first")), "line-cut").df
+    gone = all_lines.select("row", "pos", "h1", "h2", at.alias("at")).join(cut, ["h1", "h2"]).filter(~F.col("at").eqNullSafe(F.col("first"))).select("row", "pos")
     return all_lines, gone
 
 

@@ -47,7 +47,7 @@ def composed(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 #: Rounds of stars, each from other leaders. The search that follows is exact after any number of them.
-ROUNDS = 5
+ROUNDS = 3
 
 
 def linked(
@@ -55,15 +55,13 @@ def linked(
     features: Callable[[DataFrame], DataFrame],
     near: Callable[[Column, Column], Column],
     verify: Callable[[DataFrame], DataFrame] | None = None,
-    once: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(key, id) -> (v, root): components of the links between ids that share a key.
 
     A bucket first sends a star, from one leader to its members in other components, so a large group costs as
     many pairs as it has members. Rounds go on with other leaders as long as they find links. Buckets whose
     members are then still in several components are searched for the links that stars can miss: their rows meet
-    in an equi-join that emits only pairs of different components for which `near` holds (and `once`, if
-    keys have a slot: the pair's other keys don't emit it again). Pairs in one component need no link. Together
+    in an equi-join that emits only pairs of different components for which `near` holds. Pairs in one component need no link. Together
     this is exact: a pair that shares a key and fulfils near and verify is either found or already connected.
 
     features(ids) gives (id, f) for a table of ids, and is asked once; near compares two f; verify keeps the (a, b) that are links.
@@ -97,10 +95,8 @@ def linked(
     if rest.df.isEmpty():
         return roots
     rows = save(rest.df.join(features(rest.df.select("id").distinct()), "id"), "link-rows").df
-    left, right = (rows.select("key", *([F.col("slot").alias(f"slot_{a}")] if once else []), F.col("id").alias(a), F.col("root").alias(f"root_{a}"), F.col("f").alias(f"f_{a}")) for a in ("a", "b"))
+    left, right = (rows.select("key", F.col("id").alias(a), F.col("root").alias(f"root_{a}"), F.col("f").alias(f"f_{a}")) for a in ("a", "b"))
     fits = near(F.col("f_a"), F.col("f_b"))
-    if once:
-        fits = fits & once(F.col("f_a"), F.col("f_b"), F.col("slot_a"))
     across = left.join(right, (left.key == right.key) & (F.col("root_a") < F.col("root_b")) & fits)
     more = save(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "link-across").df
     if verify:
