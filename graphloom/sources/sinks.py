@@ -76,9 +76,9 @@ def _yaml(v: object, depth: int) -> str:
 
 
 def to_toon(df: DataFrame, limit: int = 1000) -> str:
-    """Token-oriented notation: a header with the columns once, then a line of cells for each row."""
-    found, _ = rows(df, limit)
-    return toon({"rows": found})
+    """Token-oriented notation: a header with the columns once, then a line of cells for each row. A line says so where rows were cut off."""
+    found, cut = rows(df, limit)
+    return toon({"rows": found} | ({"truncated": True} if cut else {}))
 
 
 def _toon_number(x: float) -> str:

@@ -99,3 +99,9 @@ def test_explain_runs_nothing_and_profile_keeps_the_write(people):
     assert "rows" in done.df.columns and done.counters
     assert done.graph.query("MATCH (a:Person) RETURN count(*) AS n").first().n == before + 1
     assert people.query("MATCH (a:Person) RETURN count(*) AS n").first().n == before
+
+
+def test_toon_says_that_rows_were_cut_off(spark):
+    from graphloom.sources.sinks import to_toon
+
+    assert "truncated: true" in to_toon(spark.range(5), 3) and "truncated" not in to_toon(spark.range(3), 3)
