@@ -70,11 +70,29 @@ class Saved:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Spark then drops a query's shuffle files at its end instead of at some collection of the driver's garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def save(df: DataFrame, name: str) -> Saved:
-    """Cuts the lineage: writes df as Parquet into the shared folder, where it survives lost executors."""
+    """Cuts the lineage: writes df as Parquet into the shared folder, where it survives lost executors.
+
+    The shuffle files of the write are dropped at its end, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     saved = Saved(spark, path, df.schema)
     if _scratch:
         _scratch[-1].append(saved)
