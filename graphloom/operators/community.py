@@ -182,8 +182,9 @@ def _named(nodes: np.ndarray, community: np.ndarray, level: int) -> pd.DataFrame
 
 
 def leiden_incremental(edges: DataFrame, membership: DataFrame, changed: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """The finest level after edge changes: edges is the new graph, changed (u, v) the updates. Only the ends of
-    changed edges, and what their moves wake, are looked at again. No changes: the membership as it was."""
+    """The finest level after edge changes: edges is the new graph, changed (u, v) the updates. The ends of changed
+    edges start anew, each alone; only they, and what their moves wake, are looked at again. A vertex without edges
+    stays alone. No changes: the membership as it was."""
     finest = membership.filter("level = 0").select("node_id", "community_id")
     if changed.isEmpty():
         return membership
@@ -193,13 +194,15 @@ def leiden_incremental(edges: DataFrame, membership: DataFrame, changed: DataFra
     known = known.join(touched, "node_id", "outer").select(F.lit(0).alias("k"), "node_id", "community_id", F.coalesce("touched", F.lit(False)).alias("touched"))
 
     def run(e: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        nodes, at = np.unique(np.concatenate([e.u, e.v]), return_inverse=True)
-        u, v = at[: len(e)], at[len(e) :]
-        before = dict(zip(old.node_id, old.community_id))
-        start = np.array([n if pd.isna(c := before.get(n)) else c for n in nodes]) if len(nodes) else nodes
+        nodes = np.unique(np.concatenate([e.u, e.v, old.node_id]))
+        u, v = np.searchsorted(nodes, e.u), np.searchsorted(nodes, e.v)
+        before = dict(zip(old.node_id[~old.touched], old.community_id[~old.touched]))
+        # (0, c): in community c as before; (1, n): alone
+        start = [(1, n) if pd.isna(c := before.get(n)) else (0, c) for n in nodes.tolist()]
+        number = {c: i for i, c in enumerate(dict.fromkeys(start))}
+        community = np.array([number[c] for c in start], np.int64)
         queue = np.flatnonzero(np.isin(nodes, old.node_id[old.touched].to_numpy())).tolist()
         g = _Level(len(nodes), u, v, e.weight.to_numpy(float), np.zeros(len(nodes)))
-        community = np.unique(start, return_inverse=True)[1]
         _gain_moves(g, community, gamma, queue)
         return _named(nodes, np.unique(community, return_inverse=True)[1], 0)
 

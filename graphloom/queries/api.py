@@ -86,6 +86,15 @@ def k_hop_sampled(spark, sf_dir):
     return traversal.k_hop(e, users(spark, 1, 2, 3), 3, per_hop=5, weight=traversal.degree(e).select("node", F.col("degree").cast("double").alias("weight")), seed=11)[0]
 
 
+@api("SELECT CAST(3 AS BIGINT) AS seeds, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS early")
+def k_hop_sampled_within(spark, sf_dir):
+    """Of the sample: seeds; nodes that the whole k-hop doesn't have; nodes nearer than there."""
+    whole = traversal.k_hop(traversal.orient(handoff(spark, sf_dir)), users(spark, 1, 2, 3), 3)[0]
+    both = k_hop_sampled(spark, sf_dir).join(whole.select("src", "node", F.col("depth").alias("least")), ["src", "node"], "left")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return both.agg(n(F.col("depth") == 0).alias("seeds"), n(F.col("least").isNull()).alias("outside"), n(F.col("depth") < F.col("least")).alias("early"))
+
+
 @api("SELECT 'Nation' AS label, CAST(0 AS INTEGER) AS depth, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'Customer', 1, (SELECT count(*) FROM customer WHERE c_nationkey = 3) UNION ALL SELECT 'Supplier', 1, (SELECT count(*) FROM supplier WHERE s_nationkey = 3) UNION ALL SELECT 'Region', 1, 1")
 def explore(spark, sf_dir):
     nodes, _, _ = traversal.explore(star_graph(spark, sf_dir), SHIFT + 3, 1)
@@ -157,6 +166,26 @@ def vector_rabitq_rescored(spark, sf_dir):
     return vector.rescored(t, "vec_id", "embedding", vector.rabitq_search(codes, rotation, "vec_id", QUERY, 80), QUERY, 10)
 
 
+def recalled(found, exact):
+    """One row: whether at least nine of the exact ten are found."""
+    return exact.join(found, "vec_id", "left_semi").agg((F.count("*") >= 9).alias("recalled"))
+
+
+def exact_ten(spark, sf_dir):
+    t = table(spark, sf_dir, "embeddings")
+    return vector.top_k(t, "vec_id", "embedding", QUERY, 10)
+
+
+@api("SELECT true AS recalled")
+def vector_binary_recall(spark, sf_dir):
+    return recalled(vector_binary_rescored(spark, sf_dir), exact_ten(spark, sf_dir))
+
+
+@api("SELECT true AS recalled")
+def vector_rabitq_recall(spark, sf_dir):
+    return recalled(vector_rabitq_rescored(spark, sf_dir), exact_ten(spark, sf_dir))
+
+
 @api("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, vec_id, 1 / (1 + list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(CAST(embedding AS DOUBLE[]), q)])) AS s FROM embeddings, q)
 SELECT query_id, vec_id, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM s) WHERE r <= 5""")
 def vector_many_queries(spark, sf_dir):
@@ -269,6 +298,41 @@ def communities_distributed(spark, sf_dir):
     return community.communities(supplies(spark, sf_dir))
 
 
+NODES = "SELECT count(*) AS nodes, count(*) AS once, true AS better FROM (SELECT l_suppkey AS k, 's' AS t FROM lineitem UNION SELECT l_partkey, 'p' FROM lineitem)"
+
+
+def quality(edges, membership, least):
+    """One row: nodes at the finest level, those that are in one community only, and whether the modularity is `least` or more."""
+    once = membership.filter("level = 0").groupBy("node_id").agg(F.count("*").alias("n"))
+    counts = once.agg(F.count("*").alias("nodes"), F.sum((F.col("n") == 1).cast("long")).alias("once"))
+    found = community.modularity(edges, membership.filter("level = 0"))
+    return counts.crossJoin(found).crossJoin(least.select(F.col("modularity").alias("least"))).select("nodes", "once", (F.col("modularity") >= F.col("least")).alias("better"))
+
+
+@api(NODES)
+def leiden_quality(spark, sf_dir):
+    """Against the partition by keys, whose modularity SQL checks."""
+    e = written(supplies(spark, sf_dir), "supplies")
+    return quality(e, community.leiden(e), community.modularity(e, regions(spark, sf_dir)))
+
+
+@api(NODES)
+def communities_distributed_quality(spark, sf_dir):
+    """Against the partition by keys."""
+    e = written(supplies(spark, sf_dir), "supplies")
+    return quality(e, community.communities(e), community.modularity(e, regions(spark, sf_dir)))
+
+
+@api(NODES)
+def leiden_incremental_quality(spark, sf_dir):
+    """After five edges more: at least nine tenths of the modularity of a run from scratch."""
+    e = written(supplies(spark, sf_dir), "supplies")
+    changed = e.filter(F.col("u") == SUPPLIER + 1).orderBy("v").limit(5).select("u", "v", F.lit(5.0).alias("weight"))
+    after = written(community.undirected(e.unionByName(changed)), "supplies-after")
+    scratch = community.modularity(after, community.leiden(after).filter("level = 0"))
+    return quality(after, community.leiden_incremental(after, written(community.leiden(e), "leiden-before"), changed), scratch.select((0.9 * F.col("modularity")).alias("modularity")))
+
+
 @api("SELECT c AS community_id, count(*) FILTER (WHERE hit) / count(*) AS score FROM (SELECT s_suppkey % 5 AS c, s_suppkey IN (1, 2, 6, 8) AS hit FROM supplier UNION ALL SELECT p_size % 5, false FROM part) GROUP BY 1 HAVING count(*) FILTER (WHERE hit) > 0")
 def rank_by_seeds(spark, sf_dir):
     return community.rank_by_seeds(regions(spark, sf_dir), [SUPPLIER + i for i in (1, 2, 6, 8)])

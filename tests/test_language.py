@@ -34,6 +34,18 @@ def test_seed_ranking(spark):
     assert [tuple(r) for r in community.rank_by_seeds(m, [0, 1, 2, 3]).collect()] == [(0, 1.0), (1, 0.5)]
 
 
+def test_leiden_incremental_starts_changed_vertices_anew(spark):
+    """A vertex whose edges moved to the other clique leaves its community; one that lost all edges stays, alone."""
+    clique = lambda ns: [(a, b, 1.0) for a in ns for b in ns if a < b]
+    schema = "u long, v long, weight double"
+    before = spark.createDataFrame(clique(range(5)) + clique(range(5, 10)) + [(4, 5, 1.0)], schema)
+    left = [e for e in clique(range(4)) if 3 not in e] + clique(range(5, 10)) + [(4, n, 1.0) for n in range(5, 10)]
+    gone = [(n, 3, 1.0) for n in range(3)] + [(n, 4, 1.0) for n in range(4)]
+    changed = spark.createDataFrame(gone + [(4, n, 1.0) for n in range(6, 10)], schema)
+    got = {r.node_id: r.community_id for r in community.leiden_incremental(spark.createDataFrame(left, schema), community.leiden(before), changed).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3} | dict.fromkeys(range(4, 10), 4)
+
+
 def test_leiden_finds_two_cliques(spark):
     edges = [(a, b) for g in (range(5), range(5, 10)) for a in g for b in g if a < b] + [(0, 5)]
     e = community.undirected(spark.createDataFrame(edges, "u long, v long"))
