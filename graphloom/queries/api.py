@@ -161,9 +161,7 @@ def vector_binary_rescored(spark, sf_dir):
 
 @api()
 def vector_rabitq_rescored(spark, sf_dir):
-    t = table(spark, sf_dir, "embeddings")
-    codes, rotation = vector.rabitq(t, "vec_id", "embedding", 64)
-    return vector.rescored(t, "vec_id", "embedding", vector.rabitq_search(codes, rotation, "vec_id", QUERY, 80), QUERY, 10)
+    return vector.rabitq_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY, 10)
 
 
 def recalled(found, exact):
