@@ -13,9 +13,10 @@ Pruning: a query is first run over the shard that it comes from. Its k-th score
 everywhere, and rises with the task's running top k. Postings are in order of documents and have maxima for blocks, aligned
 to windows of BLOCK documents. The WAND test (can the maxima of the lists that meet here reach the threshold?)
 is made window by window, for many queries in one array operation; blocks of windows that fail are not read.
-Whole texts have hundreds of terms, whose maxima reach every threshold. They are scored without the test: the lists of
-frequent terms are a matrix that many queries are multiplied with, the others are added posting by posting, and
-scores are rounded to nine decimals, so that copies tie whatever the order of the additions.
+Whole texts have hundreds of terms, whose maxima in windows of BLOCK documents reach nearly every threshold. So their rare terms are
+added up first, posting by posting, and the test for a window of SPAN documents takes the best sum there and the maxima
+of the frequent lists. Those lists are a matrix: queries are multiplied with the windows that they enter, or with all of it if they
+enter most. Scores are rounded to nine decimals, so that copies tie whatever the order of the additions.
 
 Null and empty texts have no terms: they are never found, and as queries find nothing (no row). Ties go to the
 smaller doc_id. Rows with a null doc_id are no queries and are not found. Rows that repeat a doc_id are documents of their own.
@@ -37,6 +38,8 @@ from .lm_score import _Hashes, _planes, _unplanes
 
 K1, B, K, TERMS, EVERY = 1.2, 0.75, 10, 8, 20
 SHARD_BYTES, BLOCK, QUERY_BLOCK, TERM_BLOCK = 16 << 20, 64, 20_000, 1_000_000
+#: Documents of a window when queries are whole texts.
+SPAN = 16
 
 INDEX = "shard long, part int, ids binary, lengths binary, terms binary, starts binary, docs binary, tfs binary, wanted binary, queries binary, n_docs long, n_words long"
 FIELDS = [f.split() for f in INDEX.split(", ")]
@@ -193,6 +196,7 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / (average or 1.0))
         self.impacts = tf * (K1 + 1) / (tf + norm[self.docs]) if len(tf) else tf
         self.starts, self.matrix = starts, None
+        self.entered = self.offered = 0
         if not blocks:  # search_whole() reads none
             return
         window = self.docs // BLOCK
@@ -243,23 +247,27 @@ class Shard:
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-    def frequent(self, share: int = 20, cells: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
-        """Each list's row in the matrix or -1, and the matrix: impacts of the lists with one document in `share` or more."""
+    def frequent(self, share: int = 20, cells: int = 8_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each list's row or -1; impacts of the lists with one document in `share` or more, by row and document; their maxima by row and window."""
         if self.matrix is None:
             counts = np.diff(self.starts)
             rows = np.flatnonzero(counts * share >= len(self.ids))
             rows = rows[np.argsort(-counts[rows], kind="stable")][: max(1, cells // len(self.ids))]
-            place, dense = np.full(len(counts), -1), np.zeros((len(rows), len(self.ids)))
+            place, dense = np.full(len(counts), -1), np.zeros((len(rows), -(-len(self.ids) // SPAN) * SPAN))
             place[rows] = np.arange(len(rows))
             post = _spread(self.starts[rows], counts[rows])
             dense[np.repeat(np.arange(len(rows)), counts[rows]), self.docs[post]] = self.impacts[post]
-            self.matrix = place, dense
+            self.matrix = place, dense, dense.reshape(len(rows), dense.shape[1] // SPAN, SPAN).max(axis=2)
         return self.matrix
 
-    def search_whole(self, q: np.ndarray, lists: np.ndarray, idfs: np.ndarray, floors: np.ndarray, k: int, cells: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As search(), for queries of many terms."""
-        place, dense = self.frequent()
-        n, out, queries = len(self.ids), [], np.unique(q)
+    def search_whole(self, q: np.ndarray, lists: np.ndarray, idfs: np.ndarray, floors: np.ndarray, k: int, cells: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As search(), for queries of many terms.
+
+        The lists of rare terms are added up first. A window of SPAN documents is entered by a query if its best sum so far and
+        the maxima of the frequent lists there can reach the threshold; only then are its documents scored with those lists.
+        """
+        place, dense, tops = self.frequent()
+        n, out, queries = dense.shape[1], [], np.unique(q)
         step = max(1, cells // n)
         for at in range(0, len(queries), step):
             own = queries[at : at + step]
@@ -268,12 +276,22 @@ class Shard:
             often = place[here] >= 0
             weights = np.zeros((len(own), len(dense)))
             weights[local[often], place[here[often]]] = w[often]
-            scores = weights @ dense
             local, here, w = local[~often], here[~often], w[~often]
             counts = self.starts[here + 1] - self.starts[here]
             post = _spread(self.starts[here], counts)
+            scores = np.zeros((len(own), n))
             np.add.at(scores.reshape(-1), np.repeat(local * n, counts) + self.docs[post], self.impacts[post] * np.repeat(w, counts))
             least = np.maximum(floors[own] - 1e-8, 1e-12)
+            enter = weights @ tops + scores.reshape(len(own), -1, SPAN).max(axis=2) >= least[:, None]
+            self.entered += int(enter.sum())
+            self.offered += enter.size
+            full = 2 * enter.sum(axis=1) > enter.shape[1]  # a query that enters most windows takes all, in one product
+            scores[full] += weights[full] @ dense
+            window, who = np.nonzero(enter[~full].T)
+            who = np.flatnonzero(~full)[who]
+            cuts = np.flatnonzero(np.diff(window)) + 1
+            for w, some in zip((window[np.concatenate([[0], cuts])] * SPAN).tolist() if len(window) else [], np.split(who, cuts)):
+                scores[some, w : w + SPAN] += weights[some] @ dense[:, w : w + SPAN]
             many = np.flatnonzero((scores >= least[:, None]).sum(axis=1) > 2 * k)
             if len(many):
                 least[many] = np.maximum(least[many], np.partition(scores[many], n - k, axis=1)[:, n - k] - 1e-8)

@@ -53,18 +53,24 @@ def test_equals_brute_force(spark):
     check(spark, rows, shard_bytes=6000, query_block=10)
 
 
-def test_long_lists_are_pruned_exactly():
+def shard_of(texts, **more):
     import numpy as np
 
-    rng = np.random.default_rng(3)
-    texts = [" ".join(rng.choice([f"t{i}" for i in range(12)], rng.integers(1, 30))) for _ in range(3000)]
     terms, starts, docs, tfs, lengths = search.postings(texts)
     gaps = docs.copy()
     gaps[1:] -= docs[:-1]
     term_gaps = terms.copy()
     term_gaps[1:] -= terms[:-1]
     pack = search._pack
-    shard = search.Shard({"ids": pack(np.arange(3000)), "lengths": pack(lengths), "terms": pack(term_gaps), "starts": pack(np.diff(starts).astype(np.uint32)), "docs": pack(gaps), "tfs": pack(tfs)}, lengths.mean())
+    row = {"ids": pack(np.arange(len(texts))), "lengths": pack(lengths), "terms": pack(term_gaps), "starts": pack(np.diff(starts).astype(np.uint32)), "docs": pack(gaps), "tfs": pack(tfs)}
+    return search.Shard(row, lengths.mean(), **more), terms, starts
+
+
+def test_long_lists_are_pruned_exactly():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    shard, terms, starts = shard_of([" ".join(rng.choice([f"t{i}" for i in range(12)], rng.integers(1, 30))) for _ in range(3000)])
     chosen, totals = [], []
     for q in range(30):
         found = [(q, int(t), float(w)) for t, w in zip(np.sort(rng.choice(len(terms), rng.integers(1, 6), replace=False)), rng.random(6) * 3 + 0.1)]
@@ -83,6 +89,37 @@ def test_long_lists_are_pruned_exactly():
                 assert np.array_equal(scores[of == i], total[order])
 
 
+def test_whole_queries_skip_windows_exactly():
+    """Documents of one topic stand together; queries with many terms, frequent and rare, against sums over all postings."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = 1003  # the last window is not full
+    texts = [" ".join([f"t{d // 150}x{i}" for i in rng.integers(0, 40, 60)] + [f"c{i}" for i in rng.integers(0, 25, 20)] + [f"r{i}" for i in rng.integers(0, 3000, 5)]) for d in range(n)]
+    texts[700:720] = texts[20:40]  # ties
+    shard, terms, starts = shard_of(texts, blocks=False)
+    idf = np.log(1 + (n - np.diff(starts) + 0.5) / (np.diff(starts) + 0.5))
+    chosen, totals = [], []
+    for q, d in enumerate(range(0, n, 20)):
+        lists = np.unique(np.repeat(np.arange(len(terms)), np.diff(starts))[shard.docs == d])
+        total = np.zeros(n)
+        for t in lists:
+            np.add.at(total, shard.docs[starts[t] : starts[t + 1]], shard.impacts[starts[t] : starts[t + 1]] * idf[t])
+        chosen += [(q, t, idf[t]) for t in lists]
+        totals.append(np.round(total, 9))
+    q, lists, idfs = (np.array(x) for x in zip(*chosen))
+    for floors in (np.zeros(len(totals)), np.array([sorted(t)[-10] for t in totals])):
+        for cells in (4_000_000, 9_000):
+            shard.entered = shard.offered = 0
+            of, found, scores = shard.search_whole(q, lists, idfs, floors, 10, cells)
+            for i, total in enumerate(totals):
+                order = sorted(range(n), key=lambda d: (-total[d], d))[:10]
+                assert found[of == i].tolist() == order
+                assert np.allclose(scores[of == i], total[order], rtol=0, atol=2e-9)
+            assert shard.offered == len(totals) * -(-n // search.SPAN)
+            assert (shard.entered < shard.offered // 2) == bool(floors.any())
+
+
 @pytest.mark.parametrize("rows", [[], [(20, None), (40, ""), (None, "a b"), (60, "!?")], [(20, "one"), (20, "one"), (21, None)], [(0, "wort " * 30000 + "ende"), (3, "ende")]])
 def test_edges(spark, rows):
     check(spark, rows)
