@@ -15,8 +15,8 @@ to windows of BLOCK documents. The WAND test (can the maxima of the lists that m
 is made window by window, for many queries in one array operation; blocks of windows that fail are not read.
 Whole texts have hundreds of terms, whose maxima in windows of BLOCK documents reach nearly every threshold. So their rare terms are
 added up first, posting by posting, and the test for a window of SPAN documents takes the best sum there and the maxima
-of the frequent lists. Those lists are a matrix: queries are multiplied with the windows that they enter, or with all of it if they
-enter most. Scores are rounded to nine decimals, so that copies tie whatever the order of the additions.
+of the frequent lists. Those lists are a matrix: queries are multiplied with the windows that they enter, or with all of it if a batch of
+queries enters most. Scores are rounded to nine decimals, so that copies tie whatever the order of the additions.
 
 Null and empty texts have no terms: they are never found, and as queries find nothing (no row). Ties go to the
 smaller doc_id. Rows with a null doc_id are no queries and are not found. Rows that repeat a doc_id are documents of their own.
@@ -39,7 +39,7 @@ from .lm_score import _Hashes, _planes, _unplanes
 K1, B, K, TERMS, EVERY = 1.2, 0.75, 10, 8, 20
 SHARD_BYTES, BLOCK, QUERY_BLOCK, TERM_BLOCK = 16 << 20, 64, 20_000, 1_000_000
 #: Documents of a window when queries are whole texts.
-SPAN = 16
+SPAN = 32
 
 INDEX = "shard long, part int, ids binary, lengths binary, terms binary, starts binary, docs binary, tfs binary, wanted binary, queries binary, n_docs long, n_words long"
 FIELDS = [f.split() for f in INDEX.split(", ")]
@@ -169,7 +169,9 @@ def _make_queries(n_docs: int, n_terms: int | None):
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ... counts[i] of them, for all i."""
     ends = np.cumsum(counts)
-    return np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+    out = np.repeat(starts - ends + counts, counts)
+    out += np.arange(len(out))
+    return out
 
 
 def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +193,7 @@ class Shard:
         lengths = _unpack(row["lengths"], np.int64)
         self.terms = np.cumsum(_unpack(row["terms"], np.uint64), dtype=np.uint64)
         starts = np.concatenate([[0], np.cumsum(_unpack(row["starts"], np.uint32).astype(np.int64))])
-        self.docs = np.cumsum(_unpack(row["docs"], np.uint32), dtype=np.uint32).astype(np.int64)
+        self.docs = np.cumsum(_unpack(row["docs"], np.uint32), dtype=np.uint32).view(np.int32)
         tf = _unpack(row["tfs"], np.uint32).astype(np.float64)
         norm = K1 * (1 - B + B * lengths / (average or 1.0))
         self.impacts = tf * (K1 + 1) / (tf + norm[self.docs]) if len(tf) else tf
@@ -260,7 +262,7 @@ class Shard:
             self.matrix = place, dense, dense.reshape(len(rows), dense.shape[1] // SPAN, SPAN).max(axis=2)
         return self.matrix
 
-    def search_whole(self, q: np.ndarray, lists: np.ndarray, idfs: np.ndarray, floors: np.ndarray, k: int, cells: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search_whole(self, q: np.ndarray, lists: np.ndarray, idfs: np.ndarray, floors: np.ndarray, k: int, cells: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As search(), for queries of many terms.
 
         The lists of rare terms are added up first. A window of SPAN documents is entered by a query if its best sum so far and
@@ -280,18 +282,22 @@ class Shard:
             counts = self.starts[here + 1] - self.starts[here]
             post = _spread(self.starts[here], counts)
             scores = np.zeros((len(own), n))
-            np.add.at(scores.reshape(-1), np.repeat(local * n, counts) + self.docs[post], self.impacts[post] * np.repeat(w, counts))
+            cell, part = np.repeat(local * n, counts), self.impacts[post]
+            cell += self.docs[post]
+            part *= np.repeat(w, counts)
+            np.add.at(scores.reshape(-1), cell, part)
+            del post, cell, part
             least = np.maximum(floors[own] - 1e-8, 1e-12)
             enter = weights @ tops + scores.reshape(len(own), -1, SPAN).max(axis=2) >= least[:, None]
-            self.entered += int(enter.sum())
-            self.offered += enter.size
-            full = 2 * enter.sum(axis=1) > enter.shape[1]  # a query that enters most windows takes all, in one product
-            scores[full] += weights[full] @ dense
-            window, who = np.nonzero(enter[~full].T)
-            who = np.flatnonzero(~full)[who]
-            cuts = np.flatnonzero(np.diff(window)) + 1
-            for w, some in zip((window[np.concatenate([[0], cuts])] * SPAN).tolist() if len(window) else [], np.split(who, cuts)):
-                scores[some, w : w + SPAN] += weights[some] @ dense[:, w : w + SPAN]
+            entered = int(enter.sum())
+            self.entered, self.offered = self.entered + entered, self.offered + enter.size
+            if 2 * entered > enter.size:  # most windows are entered: all in one product
+                scores += weights @ dense
+            else:
+                window, who = np.nonzero(enter.T)
+                cuts = np.flatnonzero(np.diff(window)) + 1
+                for w, some in zip((window[np.concatenate([[0], cuts])] * SPAN).tolist() if len(window) else [], np.split(who, cuts)):
+                    scores[some, w : w + SPAN] += weights[some] @ dense[:, w : w + SPAN]
             many = np.flatnonzero((scores >= least[:, None]).sum(axis=1) > 2 * k)
             if len(many):
                 least[many] = np.maximum(least[many], np.partition(scores[many], n - k, axis=1)[:, n - k] - 1e-8)
