@@ -120,3 +120,40 @@ def test_small_edits_match_a_brute_force_of_its_own(spark):
     assert len(expected) > 60
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {r.doc_id for r in line_dedup.dedup(docs).collect() if r.removed} == expected
+
+
+def test_keys_meet_packed(spark):
+    """Only the keys that several ids have become rows, all of them, however they are dealt; every line is signed once."""
+    rng = random.Random(7)
+    rows = [(i * 1_000_003, [rng.randrange(-(1 << 63), 1 << 63) for _ in range(line_dedup.BANDS)]) for i in range(3000)]
+    for i in range(0, 3000, 7):  # near and far apart, at both ends of the keys
+        rows[i][1][3] = rows[(i * 5 + 1) % 3000][1][4] = rng.choice([-1, -(1 << 63), (1 << 63) - 1, 0, i << 40])
+    signs = spark.createDataFrame(rows, "id long, bands array<long>").repartition(5)
+    owners = {}
+    for i, keys in rows:
+        for k in keys:
+            owners.setdefault((k % (1 << 64)) >> 16, []).append(i)
+    got = {}
+    for r in line_dedup.shared(signs, len(rows)).df.collect():
+        got.setdefault(r.key, []).append(r.id)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in owners.items() if len(v) > 1}
+
+
+def test_full_texts_are_dropped_on_the_way(spark, monkeypatch):
+    """Tables that hold every line's text or keys are dropped before links are followed; keys are never a row each."""
+    from graphloom.llm.common import Saved
+
+    dropped, kept = [], []
+    real_drop, real_linked = Saved.drop, line_dedup.linked
+    monkeypatch.setattr(Saved, "drop", lambda self: (dropped.append(self.path.rsplit("/", 1)[1].rsplit("-", 1)[0]), real_drop(self))[1])
+
+    def linked(keys, features, near, verify):
+        kept.append(isinstance(keys, Saved))
+        features(keys.df.select("id").distinct())
+        assert {"lines", "line-kinds", "line-signatures"} <= set(dropped)
+        return keys.df.selectExpr("id AS v", "id AS root").limit(0)
+
+    monkeypatch.setattr(line_dedup, "linked", linked)
+    docs = spark.createDataFrame([(1, "one line that stands here\nother"), (2, "one line that stands here")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_kept) for r in line_dedup.dedup(docs).collect()) == [(1, 2), (2, 0)]
+    assert kept == [True] and real_linked
