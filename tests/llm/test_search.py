@@ -120,6 +120,31 @@ def test_whole_queries_skip_windows_exactly():
             assert (shard.entered < shard.offered // 2) == bool(floors.any())
 
 
+def test_single_precision_decides_nothing():
+    """Frequent lists are multiplied in single precision; scores that it can't tell apart are ordered by full precision."""
+    import numpy as np
+
+    shard, terms, starts = shard_of(["a b" if d % 3 else "a c" for d in range(200)], blocks=False)
+    assert search.Shard.frequent(shard)[2].dtype == np.float32
+    by_size = np.argsort(-np.diff(starts))  # a, b, c
+    lists = np.sort(by_size)
+    weight = dict(zip(by_size.tolist(), (100.0, 1e-6, 2e-6)))
+    idfs = np.array([weight[x] for x in lists.tolist()])
+    for floor in (0.0, 100 * shard.impacts[0] + 1.5e-6 * shard.impacts[0]):
+        _, docs, scores = shard.search_whole(np.zeros(3, np.int64), lists, idfs, np.array([floor]), 10)
+        assert docs.tolist() == list(range(0, 30, 3))
+        assert np.allclose(scores, 100.000002 * shard.impacts[0], rtol=0, atol=2e-9)
+
+
+def test_home_shards_are_searched_once(spark, monkeypatch):
+    """Blocks of queries share one search of the shards that queries come from."""
+    rows = [(i, f"w{i % 7} w{i % 11} w{i % 13} all") for i in range(400)]
+    made, real = [], search.save
+    monkeypatch.setattr(search, "save", lambda df, name: made.append(name) or real(df, name))
+    check(spark, rows, query_block=5)
+    assert made.count("search-floors") == 1 and made.count("search-found") > 1
+
+
 @pytest.mark.parametrize("rows", [[], [(20, None), (40, ""), (None, "a b"), (60, "!?")], [(20, "one"), (20, "one"), (21, None)], [(0, "wort " * 30000 + "ende"), (3, "ende")]])
 def test_edges(spark, rows):
     check(spark, rows)
