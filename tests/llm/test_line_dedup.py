@@ -157,3 +157,16 @@ def test_full_texts_are_dropped_on_the_way(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "one line that stands here\nother"), (2, "one line that stands here")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_kept) for r in line_dedup.dedup(docs).collect()) == [(1, 2), (2, 0)]
     assert kept == [True] and real_linked
+
+
+def test_pairs_are_verified_in_turns(spark, monkeypatch):
+    """However many pairs there are, the texts of PAIRS of them are shuffled at once, about; no link is lost."""
+    texts = [(i, f"{'abcdefghij'[i // 4] * 9} is the name of this line, which has {'x' * (i % 4 + 1)} at its end") for i in range(40)]
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40)], "a long, b long")
+    alike = {(a, b) for a in range(40) for b in range(a + 1, 40) if 100 * len(set.intersection(*(shingles(texts[i][1])[0] for i in (a, b)))) >= 80 * len(set.union(*(shingles(texts[i][1])[0] for i in (a, b))))}
+    made, real = [], line_dedup.save
+    monkeypatch.setattr(line_dedup, "save", lambda df, name: made.append(name) or real(df, name))
+    monkeypatch.setattr(line_dedup, "PAIRS", 200)
+    found = line_dedup.in_turns(pairs, spark.createDataFrame(texts, "id long, norm string")).collect()
+    assert sorted(map(tuple, found)) == sorted(alike) and 0 < len(alike) < 780
+    assert made == ["line-links"] * (780 // 200 + 1)
