@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from graphloom.llm import line_dedup
 
@@ -170,3 +171,24 @@ def test_pairs_are_verified_in_turns(spark, monkeypatch):
     found = line_dedup.in_turns(pairs, spark.createDataFrame(texts, "id long, norm string")).collect()
     assert sorted(map(tuple, found)) == sorted(alike) and 0 < len(alike) < 780
     assert made == ["line-links"] * (780 // 200 + 1)
+
+
+def test_sketches_sort_out_unlike_long_lines(spark, monkeypatch):
+    """Of long lines, no pair that shares nothing is left to be verified, and every pair that is alike is."""
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    base = [letters(300) for _ in range(200)]
+    edited = [x[:150] + letters(20) + x[170:] for x in base]
+    left = []
+
+    def linked(keys, features, near, verify):
+        found = features(spark.range(400).select("id")).withColumnRenamed("f", "f_a")
+        other = found.selectExpr("id AS b", "f_a AS f_b")
+        left.extend((r.id, r.b) for r in found.join(other, found.id < other.b).filter(near(F.col("f_a"), F.col("f_b"))).collect())
+        return spark.createDataFrame([], "v long, root long")
+
+    monkeypatch.setattr(line_dedup, "linked", linked)
+    monkeypatch.setattr(F, "monotonically_increasing_id", lambda: F.expr("CAST(at.doc_id AS long)"))
+    monkeypatch.setattr(line_dedup, "listed", lambda docs: line_dedup.save(docs.selectExpr("doc_id AS row", "doc_id", "0 AS pos", "text AS norm", "doc_id AS h1", "doc_id AS h2"), "lines"))
+    line_dedup.dedup(spark.createDataFrame(list(enumerate(base + edited)), "doc_id long, text string"))
+    assert sorted(left) == [(i, i + 200) for i in range(200)]
