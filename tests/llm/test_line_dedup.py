@@ -192,3 +192,60 @@ def test_sketches_sort_out_unlike_long_lines(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "listed", lambda docs: line_dedup.save(docs.selectExpr("doc_id AS row", "doc_id", "0 AS pos", "text AS norm", "doc_id AS h1", "doc_id AS h2"), "lines"))
     line_dedup.dedup(spark.createDataFrame(list(enumerate(base + edited)), "doc_id long, text string"))
     assert sorted(left) == [(i, i + 200) for i in range(200)]
+
+
+def test_groups_are_rows_not_pairs(spark):
+    """A group whose lines share a key and have no link costs rows, not pairs; a pair is verified if its sketches are near."""
+    from graphloom.llm import linking
+    from graphloom.llm.common import save
+
+    rows = [(7, i, 0) for i in range(300)] + [(8, i, 400) for i in (400, 401)] + [(9, i, 500) for i in (500, 501)]
+    asked = []
+
+    class Verify:
+        def __call__(self, pairs):
+            asked.append(sorted(map(tuple, pairs.collect())))
+            return pairs
+
+        def within(self, cells, parts):
+            asked.append(cells.count())
+            return cells.selectExpr("id AS a", "id AS b").limit(0)
+
+    keys = save(spark.createDataFrame(rows, "key long, id long, lead long"), "test-keys")
+    features = lambda ids: ids.selectExpr("id", "id DIV 100 AS f")
+    roots = linking.linked(keys, features, lambda a, b: (a == b) & (a == 5), Verify())
+    assert asked == [[(500, 501)], 300] and [tuple(r) for r in roots.collect()] == [(501, 500)]
+
+
+def test_large_groups_are_cut_into_cells(spark, monkeypatch):
+    """With cells and parts of any size, near copies of a line have the components that a brute force finds."""
+    from graphloom.llm import linking
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for _ in range(4):
+        base = [word() for _ in range(20)]
+        for _ in range(70):
+            ws = list(base)
+            for at in rng.sample(range(20), rng.choice([0, 1, 2, 3, 4, 5])):
+                ws[at] = word()
+            rows.append((len(rows), " ".join(ws)))
+    expected = {i for i, places in brute(rows).items() if places}
+    assert 40 < len(expected) < 270
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for cell, small, size in ((2048, 1, 2000), (16, 4, 500)):
+        monkeypatch.setattr(linking, "CELL", cell)
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        monkeypatch.setattr(line_dedup, "CELL_BYTES", size)
+        assert {r.doc_id for r in line_dedup.dedup(docs).collect() if r.removed} == expected, (cell, small, size)
+
+
+def test_unlike_lines_of_one_language_share_few_keys():
+    """Few pairs of lines of the same words share a key (19,305 did with bands of four values)."""
+    rng = random.Random(19)
+    words = ["".join(rng.choice("etaoinsh") for _ in range(rng.randint(2, 5))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(3000)]
+    keys = line_dedup.signed(pa.array(texts))[1].ravel()
+    _, n = np.unique(keys, return_counts=True)
+    assert (n * (n - 1) // 2).sum() < len(texts) // 5
