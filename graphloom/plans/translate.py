@@ -126,7 +126,8 @@ class Translator:
             if done:
                 raise QueryError("nothing can follow RETURN")
             if isinstance(k, A.Match):
-                frame = self.optional(frame, k) if k.optional else self.match(frame, k)
+                after = clauses[i + 1] if i + 1 < len(clauses) else None
+                frame = self.optional(frame, k) if k.optional else self.factored(frame, k, after) or self.match(frame, k)
             elif isinstance(k, A.Projection):
                 frame = self.projection(frame, k)
                 done = k.final
@@ -202,6 +203,81 @@ class Translator:
             frame = self.search(frame, s)
         return frame
 
+    def factored(self, frame: Frame, k: A.Match, after: A.Clause | None) -> Frame | None:
+        """The match in parts that meet only in grouping keys, if what follows asks each part for its distinct values alone.
+
+        Rows of different parts are then not paired: each part keeps the rows whose keys all others have, and the parts
+        are united, with NULL for the variables of the others. count(DISTINCT), sum(DISTINCT), avg(DISTINCT), min and max
+        of them are those of the join, whose rows grow as the product of the parts. None: the form is another one.
+        """
+        if not isinstance(after, A.Projection) or after.star or frame.df is not None or frame.carry or self.unique:
+            return None
+        if any(p.kind != "plain" or p.var is not None or any(r.variable for r in p.rels) for p in k.patterns):
+            return None
+        known = {n.var for p in k.patterns for n in p.nodes}
+        names = lambda e: {x.name for x in walk(e) if isinstance(x, A.Var)}
+        keys: set[str] = set()
+        for i in after.items:
+            if not has_aggregate(i.expr):
+                keys |= names(i.expr)
+        if not keys or not keys <= known:
+            return None
+        for e in [i.expr for i in after.items] + [e for e, _ in after.order]:
+            for x in walk(e):
+                if is_aggregate(x):
+                    arg = x.args[0] if len(x.args) == 1 else None
+                    arg = arg.of if isinstance(arg, A.Prop) else arg
+                    if not isinstance(arg, A.Var) or not (x.distinct and x.name in ("count", "sum", "avg") or x.name in ("min", "max")):
+                        return None
+        parts: list[tuple[list, set[str]]] = []  # patterns, their variables without the keys
+        for p in k.patterns:
+            cuts = [0, *(i for i in range(1, len(p.rels)) if p.nodes[i].var in keys), len(p.rels)]
+            for a, b in zip(cuts, cuts[1:]) if p.rels else [(0, 0)]:
+                piece = A.PathPat(p.nodes[a : b + 1], p.rels[a:b])
+                vars = {x.var for x in (*piece.nodes, *piece.rels)} - keys
+                near = [q for q in parts if q[1] & vars]
+                parts = [q for q in parts if not q[1] & vars] + [(sum((q[0] for q in near), []) + [piece], vars.union(*(q[1] for q in near)))]
+        if len(parts) < 2 or any(not keys <= {n.var for p in ps for n in p.nodes} for ps, _ in parts):
+            return None
+        where, searches = self.searches(k.where)
+        conditions: list[list[A.Expr]] = [[] for _ in parts]
+        rest = [where] if where is not None else []
+        while rest:
+            e = rest.pop(0)
+            if isinstance(e, A.Binary) and e.op == "and":
+                rest = [e.left, e.right, *rest]
+                continue
+            fits = [n for n, (_, vars) in enumerate(parts) if names(e) <= vars | keys]
+            if not fits:
+                return None
+            conditions[fits[0]].append(e)
+        if searches:
+            return None
+        labels, segments = self.resolve(k.patterns, {})
+        frames = []
+        for (patterns, _), wheres in zip(parts, conditions):
+            f = Frame()
+            for p in patterns:
+                f = self.pattern(f, p, labels, segments)
+            for e in wheres:
+                self.note("Filter", repr(e)[:200])
+                f = replace(f, df=f.df.filter(X.truth(self.compiler(f.vars)(e))))
+            frames.append(f)
+        ids = sorted(col(n, "_id") for n in keys)
+        keyed = [f.df.select(*map(c, ids)).distinct() for f in frames]
+        vars: dict[str, Bound] = {}
+        df = None
+        for n, f in enumerate(frames):
+            for v, b in f.vars.items():
+                if vars.setdefault(v, b) != b:  # a key has more columns in one part than in another
+                    return None
+            own = f.df
+            for other in keyed[:n] + keyed[n + 1 :]:
+                own = own.join(other, ids, "left_semi")
+            df = own if df is None else df.unionByName(own, allowMissingColumns=True)
+        self.note("SemiJoin", f"{len(frames)} parts, distinct values only")
+        return Frame(df, vars)
+
     def unique_filter(self, frame: Frame, patterns: tuple) -> Frame:
         """Optional: no relationship twice in one MATCH, across its hops."""
         if not self.unique:

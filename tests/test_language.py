@@ -129,3 +129,20 @@ def test_explore_shows_everything_unless_capped(spark):
     assert (found.count(), links.count(), cut) == (1201, 1200, False)
     found, links, cut = traversal.explore(g, 0, 1, node_cap=11, edge_cap=4)
     assert ([r.node for r in found.collect()], [r.rel for r in links.collect()], cut) == (list(range(11)), [1, 2, 3, 4], True)
+
+
+def test_distinct_counts_of_parts_that_meet_in_a_key(spark):
+    """2000 x 3000 pairs meet in one node; they are not made, and the counts are those of the join."""
+    ids = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("_id"), (F.col("id") % 7).alias("x"))
+    to = lambda lo, hi, at: spark.range(lo, hi).select(F.col("id").alias("_id"), F.col("id").alias("_src"), at.alias("_dst"))
+    nodes = {"N": ids(0, 3), "A": ids(10_000, 12_002), "B": ids(20_000, 23_000)}
+    near = F.when(F.col("id") < 12_000, 0).otherwise(F.col("id") - 11_999).cast("long")
+    g = PropertyGraph.of(spark, nodes, [("IN", "A", "N", to(10_000, 12_002, near)), ("IN", "B", "N", to(20_000, 23_000, F.lit(0).cast("long")))])
+    for text in ("MATCH (a:A)-[:IN]->(n:N), (b:B)-[:IN]->(n)", "MATCH (a:A)-[:IN]->(n:N)<-[:IN]-(b:B)"):
+        result = g.execute(text + " WHERE a.x > 2 AND b.x > 3 RETURN n.x AS k, count(DISTINCT a) AS a, count(DISTINCT b.x) AS b, max(b.x) AS m")
+        a = sum(i % 7 > 2 for i in range(10_000, 12_000))
+        assert [tuple(r) for r in result.df.collect()] == [(0, a, 3, 6)]
+        plan = result.df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan
+        both = g.query(text + " WHERE a.x + b.x > 11 AND a.x = 6 RETURN n.x AS k, count(DISTINCT a) AS a, count(*) AS n").collect()
+        assert len(both) == 1 and both[0].a == sum(i % 7 == 6 for i in range(10_000, 12_000))
