@@ -1,8 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
 from graphloom.operators import community, fusion, text, traversal, vector
+from graphloom.operators.tables import written
 from graphloom.plans import ast as A
 from graphloom.plans.parser import QueryError, parse
 from graphloom.sources.sinks import toon
@@ -146,3 +148,42 @@ def test_distinct_counts_of_parts_that_meet_in_a_key(spark):
         assert "LeftSemi" in plan
         both = g.query(text + " WHERE a.x + b.x > 11 AND a.x = 6 RETURN n.x AS k, count(DISTINCT a) AS a, count(*) AS n").collect()
         assert len(both) == 1 and both[0].a == sum(i % 7 == 6 for i in range(10_000, 12_000))
+
+
+def planted(spark):
+    """Eight groups of 40 vertices: dense inside, a few edges between them."""
+    rng = np.random.default_rng(5)
+    edges = {(a, b) for a in range(320) for b in range(a) if rng.random() < (0.3 if a // 40 == b // 40 else 0.005)}
+    return written(community.undirected(spark.createDataFrame(sorted(edges), "u long, v long")), "planted")
+
+
+def partition(df):
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.community_id, set()).add(r.node_id)
+    assert all(c == min(ns) for c, ns in groups.items())
+    return sorted(map(sorted, groups.values()))
+
+
+def test_large_graphs_are_merged_before_one_task_takes_them(spark, monkeypatch):
+    """No task gets more than MAX_EDGES edges, every node is in one community a level, and the groups are found."""
+    e = planted(spark)
+    most = spark.sparkContext.accumulator(0)
+    levels = community.leiden_levels
+
+    def counted(u, *args, **options):
+        most.add(int(len(u) > 100))
+        return levels(u, *args, **options)
+
+    monkeypatch.setattr(community, "leiden_levels", counted)
+    monkeypatch.setattr(community, "MAX_EDGES", 100)
+    found = community.leiden(e)
+    assert e.count() > 2000 and found.groupBy("node_id", "level").count().filter("count > 1").isEmpty()
+    finest = found.filter("level = 0").select("node_id", "community_id")
+    assert finest.count() == 320 and most.value == 0
+    exact = community.modularity(e, spark.range(320).select(F.col("id").alias("node_id"), F.floor(F.col("id") / 40).alias("community_id"))).first()[0]
+    assert community.modularity(e, finest).first()[0] > 0.8 * exact
+    for limit in (0, 100):  # to the end in joins, and with a task at the end
+        assert community.modularity(e, community.communities(e, limit=limit)).first()[0] > 0.8 * exact
+    with pytest.warns(RuntimeWarning):
+        community.communities(e, rounds=1, limit=0)
