@@ -187,3 +187,16 @@ def test_large_graphs_are_merged_before_one_task_takes_them(spark, monkeypatch):
         assert community.modularity(e, community.communities(e, limit=limit)).first()[0] > 0.8 * exact
     with pytest.warns(RuntimeWarning):
         community.communities(e, rounds=1, limit=0)
+
+
+def test_incremental_sweeps_move_as_one_task_does(spark, monkeypatch):
+    e = planted(spark)
+    before = written(community.leiden(e), "before")
+    new = [(n, 40 * ((n // 40 + 3) % 8) + i, 1.0) for n in (3, 90, 200) for i in range(30)]
+    changed = spark.createDataFrame(new + [(7, 1000, 1.0), (2000, 2001, 0.0)], "u long, v long, weight double")
+    after = written(community.undirected(e.unionByName(changed.filter("weight > 0").select(e.columns))), "after")
+    one = partition(community.leiden_incremental(after, before, changed))
+    finest = before.filter("level = 0").select("node_id", "community_id")
+    assert one != partition(finest)
+    monkeypatch.setattr(community, "MAX_EDGES", 1200)  # fewer than the edges
+    assert partition(community.leiden_incremental(after, before, changed)) == one
